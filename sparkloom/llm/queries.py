@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ogg, simple8b
+from . import mixing, ogg, packing, simple8b
 from .common import table
 from .tokens import vocabulary_path
 
@@ -22,9 +22,62 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_media(ogg.to_media(table(spark, sf_dir, "documents")))
 
 
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all ``documents`` at weights 5, 2, 1 and 150 % of their words."""
+    return mixing.taken(mixing.plan_mix(table(spark, sf_dir, "documents")))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_media": op4_media,
+    "op9_mix": op9_mix,
+    "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The mix in SQL: words, water-filled targets (a source's cap binds in order of size over weight), then
+#: the overlap of each document's two places on its source's line with what the source gives.
+_MIX_SQL = """
+with sized as (
+  select doc_id, source,
+    cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+    md5('mix-' || coalesce(cast(doc_id as varchar), '')) as key
+  from documents),
+sources as (
+  select source, sum(size)::hugeint as source_size, row_number() over (order by source nulls last) - 1 as queue
+  from sized group by source),
+weighed as (
+  select *, (case queue % 3 when 0 then 5 when 1 then 2 else 1 end)::hugeint as weight,
+    sum(source_size) over () as total
+  from sources),
+ranked as (
+  select *,
+    coalesce(sum(source_size) over w, 0)::hugeint as capped_before,
+    (sum(weight) over () - coalesce(sum(weight) over w, 0))::hugeint as weight_left
+  from weighed
+  window w as (order by source_size::double / weight, queue rows between unbounded preceding and 1 preceding)),
+flagged as (
+  select *, weight * (3 * total - 4 * capped_before) >= 4 * source_size * weight_left as capped from ranked),
+rest as (
+  select coalesce(sum(source_size) filter (capped), 0)::hugeint as capped_size,
+    coalesce(sum(weight) filter (not capped), 0)::hugeint as weight_left from flagged),
+targets as (
+  select f.*, case when total = 0 then 0 when capped then 2 * source_size else (weight * (3 * total - 4 * r.capped_size)) // (2 * r.weight_left) end as give,
+    case when total = 0 then 0.0 when capped then cast(2 * source_size as double)
+      else cast(weight * (3 * total - 4 * r.capped_size) as double) / cast(2 * r.weight_left as double) end as target
+  from flagged f, rest r),
+placed as (
+  select s.doc_id, s.size, t.source_size, t.target, t.give,
+    coalesce(sum(s.size) over (partition by t.queue order by s.key, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as place
+  from sized s join targets t on s.source is not distinct from t.source)
+select doc_id, size, cast(source_size as bigint) as source_size, target,
+  cast(greatest(0, least(place + size, give) - place)
+    + greatest(0, least(place + source_size + size, give) - (place + source_size)) as bigint) as taken
+from placed
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_mix": _MIX_SQL}
