@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ogg, packing, simple8b
+from . import mixing, near_dup, ogg, packing, simple8b
 from .common import table
 from .tokens import vocabulary_path
 
@@ -22,6 +22,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_media(ogg.to_media(table(spark, sf_dir, "documents")))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of ``documents`` on 4-word shingles."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all ``documents`` at weights 5, 2, 1 and 150 % of their words."""
     return mixing.taken(mixing.plan_mix(table(spark, sf_dir, "documents")))
@@ -35,6 +40,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_media": op4_media,
+    "op5_near_duplicates": op5_near_duplicates,
     "op9_mix": op9_mix,
     "op10_packing": op10_packing,
 }
