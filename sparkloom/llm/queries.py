@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, ogg, packing, simple8b
+from . import mixing, near_dup, ogg, packing, quality, simple8b
 from .common import table
 from .tokens import vocabulary_path
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from ``labels`` outside the held-out fold."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple-8b token files of ``documents``, read back."""
     path = simple8b.write_token_files(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=2)
@@ -38,6 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_token_files": op3_token_files,
     "op4_media": op4_media,
     "op5_near_duplicates": op5_near_duplicates,

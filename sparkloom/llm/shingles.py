@@ -40,20 +40,29 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(digest of every word, words of each text) for UTF-8 texts."""
-    raw = np.frombuffer(b" ".join(texts).translate(_LOWER) + b" ", np.uint8)
-    ends_of = np.cumsum([len(t) + 1 for t in texts])
+def words_in(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, first byte, end) of every word of ``raw``, bytes that end with a gap."""
     gap = _GAP[raw]
     edge = np.flatnonzero(np.diff(gap, prepend=True))
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), begin, end
     up, down = _grown(len(raw) + 1)
     run = np.empty(len(raw) + 1, np.uint64)
     run[0] = 0
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=run[1:])
-    digest = mix64((run[end] - run[begin]) * down[begin] + (end - begin).astype(np.uint64) * _STEP)
+    return mix64((run[end] - run[begin]) * down[begin] + (end - begin).astype(np.uint64) * _STEP), begin, end
+
+
+def lowered(texts: list[bytes], gap: bytes = b" ") -> np.ndarray:
+    """The texts in lower case (A-Z only), each followed by ``gap``."""
+    return np.frombuffer(gap.join(texts).translate(_LOWER) + gap, np.uint8)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(digest of every word, words of each text) for UTF-8 texts."""
+    digest, begin, _ = words_in(lowered(texts))
+    ends_of = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(begin, ends_of), prepend=0)
     return digest, counts
 
