@@ -86,11 +86,12 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
+                    rows.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sig"],
+                names=["doc_id", "text_key", "n_shingles", "digest", "sig"],
             )
 
 
@@ -264,7 +265,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     if percent < 80:
         raise ValueError("signatures guarantee similarities of 0.8 or more")
-    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_sign, k=k), "doc_id long, n_shingles long, digest binary, sig binary"), "signatures")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
+    signed = materialize(texts.mapInArrow(partial(_sign, k=k), "doc_id long, text_key long, n_shingles long, digest binary, sig binary"), "signatures")
     nodes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
     nodes = materialize(nodes, "nodes")
     one_key = Window.partitionBy("key")
@@ -312,6 +314,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     found = components(materialize(forests, "forests"))
     named = nodes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("of_set"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
+    out = signed.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("of_set", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
+
+
+def text_key():
+    """A digest of ``text``; 0 for null."""
+    return F.coalesce(F.xxhash64("text"), F.lit(0))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of ``docs``, with its columns, for each near-duplicate component.
+
+    It is the row with the smallest doc_id; of rows equal in id and text one stays.  Rows without an id
+    stay unless they repeat another one's text.
+    """
+    columns = docs.columns
+    # null ids stand under a number with a mark of their own, so that plain equality joins them
+    keys = {"id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "no_id_": F.col("doc_id").isNull()}
+    kept = near_duplicates(docs, k, percent).where("kept").select(*[c.alias(n) for n, c in keys.items()], F.col("text_key").alias("key_"))
+    rows = docs.withColumns(keys | {"key_": text_key()})
+    one = Window.partitionBy("id_", "no_id_", "key_").orderBy(F.lit(1))
+    found = rows.join(kept, ["id_", "no_id_", "key_"], "left_semi").withColumn("nth_", F.row_number().over(one))
+    return found.where("nth_ = 1").select(*[F.col(f"`{c}`") for c in columns])
