@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, ogg, packing, quality, simple8b
+from . import iblt, mixing, near_dup, ogg, packing, quality, simple8b
 from .common import table
 from .tokens import vocabulary_path
 
@@ -32,6 +32,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invertible fingerprints of ``documents`` and their edited texts."""
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all ``documents`` at weights 5, 2, 1 and 150 % of their words."""
     return mixing.taken(mixing.plan_mix(table(spark, sf_dir, "documents")))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_media": op4_media,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_fingerprints": op7_fingerprints,
     "op9_mix": op9_mix,
     "op10_packing": op10_packing,
 }
