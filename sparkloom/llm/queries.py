@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import iblt, mixing, near_dup, ogg, packing, quality, simple8b
+from . import iblt, mixing, near_dup, ogg, packing, quality, simple8b, token_counts, urls
 from .common import table
 from .tokens import vocabulary_path
 
@@ -16,6 +16,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of ``documents``."""
+    return token_counts.section_token_counts(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple-8b token files of ``documents``, read back."""
     path = simple8b.write_token_files(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=2)
@@ -32,6 +37,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url of ``pages``."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invertible fingerprints of ``documents`` and their edited texts."""
     return iblt.fingerprints(table(spark, sf_dir, "documents"))
@@ -49,9 +59,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_section_tokens": op2_section_tokens,
     "op3_token_files": op3_token_files,
     "op4_media": op4_media,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_urls": op6_urls,
     "op7_fingerprints": op7_fingerprints,
     "op9_mix": op9_mix,
     "op10_packing": op10_packing,
