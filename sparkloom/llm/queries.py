@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import iblt, mixing, near_dup, ogg, packing, quality, simple8b, token_counts, urls
+from . import chat, iblt, mixing, near_dup, ogg, packing, quality, simple8b, token_counts, urls
 from .common import table
 from .tokens import vocabulary_path
 
@@ -47,6 +47,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from transcripts of all ``conversations``."""
+    parts = chat.transcripts(table(spark, sf_dir, "conversations"))
+    return chat.parse(parts.select("conv_id", "part", "text"), chat.fit_model(parts))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all ``documents`` at weights 5, 2, 1 and 150 % of their words."""
     return mixing.taken(mixing.plan_mix(table(spark, sf_dir, "documents")))
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_urls": op6_urls,
     "op7_fingerprints": op7_fingerprints,
+    "op8_chat": op8_chat,
     "op9_mix": op9_mix,
     "op10_packing": op10_packing,
 }
