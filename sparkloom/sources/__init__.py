@@ -1,0 +1 @@
+"""Readers and writers of fields, telemetry, logs and weights."""
