@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Samples of a packet; payloads are padded to a positive multiple.
 PACKET = 576
@@ -205,7 +206,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def to_media(docs: DataFrame) -> DataFrame:
     """``doc_id, media``: every whole text (null: empty) as an Ogg stream.  Other columns are not read."""
-    return docs.select("doc_id", "text").mapInArrow(_write, "doc_id long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_write, "doc_id long, media binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, sequence: int = SEQU
     code-point order, a queue's documents as they are read.  Every id lies in one piece; offsets in a
     sequence have no gaps; all sequences but the last are full.  Repeated rows are packed each.
     """
-    ids = materialize(docs.select("doc_id", "text", F.col("source").cast("string").alias("source")).mapInArrow(partial(_encode, path=vocabulary, end_id=end_id, dtype=dtype), _IDS), "packing-ids")
+    ids = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")).mapInArrow(partial(_encode, path=vocabulary, end_id=end_id, dtype=dtype), _IDS), "packing-ids")
     parts = ids.groupBy("source", "part_id").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("source").orderBy("part_id").rowsBetween(Window.unboundedPreceding, -1)
     base = materialize(parts.select("source", "part_id", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "packing-base")

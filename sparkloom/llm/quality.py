@@ -211,7 +211,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> F
     known = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)) < FIT_LINES)
-    rows = texts.select("doc_id", "text", "quality").mapInArrow(_sample, "doc_id long, quality int, features binary, length binary").collect()
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(_sample, "doc_id long, quality int, features binary, length binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["features"]))
     features = np.concatenate([np.frombuffer(r["features"], "<f8") for r in rows] or [np.zeros(0)]).reshape(-1, WIDTH)
     length = [np.frombuffer(r["length"], "<i8") for r in rows]
@@ -227,7 +227,7 @@ def _score(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Recor
 
 def score_documents(docs: DataFrame, field: Field) -> DataFrame:
     """``doc_id, score`` of every whole text; a null or empty text is one empty line."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_score, field=field), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_score, field=field), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:

@@ -216,7 +216,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, path: s
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-ids")
     ordered = (
-        docs.select("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )

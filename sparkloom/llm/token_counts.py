@@ -14,6 +14,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .tokens import CACHE_CHUNKS, ChunkEncoder
 
@@ -146,4 +147,4 @@ def section_token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     ``n_crossing`` of the counted tokens also touch another line; ``doc_tokens`` is the text's total, which
     its lines' ``n_tokens`` add up to.
     """
-    return docs.select("doc_id", "text").mapInArrow(partial(_rows, path=vocabulary), _OUT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_rows, path=vocabulary), _OUT)
