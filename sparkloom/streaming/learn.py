@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -136,7 +135,11 @@ def _fold(key: tuple, rows: pd.DataFrame, weights: Weights) -> pd.DataFrame:
 
 def learn(chunks: DataFrame, weights: Weights) -> DataFrame:
     """All chunks of every (field, mode, policy) in order; streams run in parallel."""
-    return chunks.groupBy(*KEYS).applyInPandas(partial(_fold, weights=weights), OUT)
+
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _fold(key, rows, weights)
+
+    return chunks.groupBy(*KEYS).applyInPandas(fold, OUT)
 
 
 def _stream(key: tuple, frames: Iterator[pd.DataFrame], state, weights: Weights) -> Iterator[pd.DataFrame]:
@@ -154,7 +157,11 @@ def learn_stream(chunks: DataFrame, weights: Weights) -> DataFrame:
 
     A micro-batch is folded in chunk order; batches must come in order, as replay gives them.
     """
-    return chunks.groupBy(*KEYS).applyInPandasWithState(partial(_stream, weights=weights), OUT, "head binary", "append", "NoTimeout")
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        yield from _stream(key, frames, state, weights)
+
+    return chunks.groupBy(*KEYS).applyInPandasWithState(fold, OUT, "head binary", "append", "NoTimeout")
 
 
 def back_fill(records: DataFrame, reads: DataFrame) -> DataFrame:
