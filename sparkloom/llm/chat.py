@@ -16,6 +16,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +64,9 @@ def read_line(line: str) -> tuple[int, str, int]:
     return kind, text, 2 * (0 if not n else 1 if n < 60 else 2 if n < 240 else 3) + text.rstrip().endswith("?")
 
 
-def symbols(lines: list[tuple[int, str, int]], after_gap: bool) -> np.ndarray:
-    """Observed symbols of consecutive lines."""
-    out, gap = [], after_gap
+def symbols(lines: list[tuple[int, str, int]]) -> np.ndarray:
+    """Observed symbols of the lines of one part."""
+    out, gap = [], False
     for kind, text, shape in lines:
         out.append(kind * FEATURES + 2 * shape + gap)
         gap = not text and not kind
@@ -79,39 +80,37 @@ class Model:
         self.first, self.step, self.emit = first, step, emit
 
 
-def allowed() -> np.ndarray:
-    """A turn's inner line follows a line of the same role; any role may begin a turn."""
-    ok = np.zeros((STATES, STATES), bool)
-    ok[:, ::2] = True
-    for r in range(len(ROLES)):
-        ok[[2 * r, 2 * r + 1], 2 * r + 1] = True
-    return ok
-
-
 def fit(parts: pd.DataFrame) -> Model:
     """Counts with smoothing over rows ``conv_id, part, role, text``; no rows give even tables."""
-    first, step, kinds, shapes = np.full(STATES, 0.1), np.full((STATES, STATES), 0.1), np.full((STATES, len(MARKERS)), 0.05), np.full((STATES, FEATURES), 0.5)
+    first, ends, nexts, kinds, shapes = np.full(STATES, 0.1), np.ones((STATES, 2)), np.full((len(ROLES), len(ROLES)), 0.5), np.full((STATES, len(MARKERS)), 0.005), np.full((STATES, FEATURES), 0.01)
     first[1::2] = 1e-6
-    for r in range(len(ROLES)):  # a role's own marker speaks for the begin of its turn even if never seen
-        kinds[2 * r, 1 + r] += 1
+    for r in range(len(ROLES)):  # what a state that is rarely seen is taken for: its own marker, inner lines without one
+        kinds[2 * r, [0, 1 + r]] += 2, 8
+        kinds[2 * r + 1, 0] += 10
     for _, rows in parts.sort_values(["conv_id", "part"], kind="stable").groupby("conv_id", sort=True):
-        before, gap = None, True
+        before = None
         for role, text in zip(rows["role"], rows["text"], strict=True):
             if role not in ROLES:
                 continue
             lines = [read_line(x) for x in (text or "").split("\n")]
-            sym = symbols(lines, gap)
-            gap = not lines[-1][1]
-            for i, s in enumerate(sym.tolist()):
+            for i, s in enumerate(symbols(lines).tolist()):
                 state = 2 * ROLES.index(role) + (i > 0)
                 if before is None:
                     first[state] += 1
                 else:
-                    step[before, state] += 1
+                    ends[before, int(i == 0)] += 1
+                    if not i:
+                        nexts[before // 2, state // 2] += 1
                 kinds[state, s // FEATURES] += 1
                 shapes[state, s % FEATURES] += 1
                 before = state
-    step = np.where(allowed(), step, 0)
+    # a turn ends or goes on by its state; who speaks next is a matter of roles alone
+    ends, nexts = ends / ends.sum(axis=1, keepdims=True), nexts / nexts.sum(axis=1, keepdims=True)
+    step = np.zeros((STATES, STATES))
+    for a in range(STATES):
+        step[a, ::2] = ends[a, 1] * nexts[a // 2]
+        step[a, a // 2 * 2 + 1] = ends[a, 0]
+    shapes = shapes + 8 * shapes.sum(axis=0) / shapes.sum()
     with np.errstate(divide="ignore"):
         log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
         emit = (log(kinds)[:, :, None] + log(shapes)[:, None, :]).reshape(STATES, SYMBOLS)
@@ -159,62 +158,78 @@ def join_blocks(matrices: list[np.ndarray]) -> list[tuple[int | None, int]]:
     return list(zip([None, *last[:-1]], last, strict=True))
 
 
-def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups of rows that come sorted by ``keys``; repeated keys are equal only to themselves."""
-    held: list[pd.DataFrame] = []
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of equal first ``keys`` columns, which come sorted by them."""
+    held: list[tuple] = []
     for b in batches:
-        if not len(b):
-            continue
-        changed = (b[keys] != b[keys].shift()).any(axis=1).to_numpy()
-        starts = [*np.flatnonzero(changed).tolist(), len(b)]
-        for a, e in zip(starts[:-1], starts[1:], strict=True):
-            piece = b.iloc[a:e]
-            if held and tuple(held[-1][keys].iloc[-1]) != tuple(piece[keys].iloc[0]):
-                yield pd.concat(held)
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[-1][:keys] != row[:keys]:
+                yield held
                 held = []
-            held.append(piece)
+            held.append(row)
     if held:
-        yield pd.concat(held)
+        yield held
 
 
-def _lines(block: pd.DataFrame) -> tuple[list[tuple[int, str, int]], list[int], np.ndarray]:
-    lines, part = [], []
-    for p, text in zip(block["part"], block["text"], strict=True):
-        for x in (text or "").split("\n"):
-            lines.append(read_line(x))
-            part.append(p)
-    return lines, part, symbols(lines, True)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def _summaries(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
-    for block in _blocks(batches, ["conv", "block"]):
-        _, _, sym = _lines(block)
-        first = block.iloc[0]
-        yield pd.DataFrame({"conv": [first["conv"]], "block": [first["block"]], "matrix": [transfer(model, sym, bool(first["opening"])).ravel().tolist()]})
+def _some(rows: Iterator[tuple], schema: pa.Schema, n: int = 2000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= n:
+            yield _batch(held, schema)
+            held = []
+    if held:
+        yield _batch(held, schema)
 
 
-def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for conv in _blocks(batches, ["conv"]):
-        ends = join_blocks([np.array(m).reshape(STATES, STATES) for m in conv["matrix"]])
-        yield pd.DataFrame({"conv": conv["conv"].to_numpy(), "block": conv["block"].to_numpy(), "entry": [-1 if a is None else a for a, _ in ends], "last": [b for _, b in ends]})
+def _lines(block: list[tuple]) -> tuple[list[tuple[int, str, int]], list[int], np.ndarray]:
+    """Lines, their parts and their symbols of rows (conv, block, part, text, ...)."""
+    lines, part, sym = [], [], []
+    for row in block:
+        own = [read_line(x) for x in (row[3] or "").split("\n")]
+        lines += own
+        part += [row[2]] * len(own)
+        sym.append(symbols(own))
+    return lines, part, np.concatenate(sym)
 
 
+_MATRIX = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("matrix", pa.list_(pa.float64()))])
+_ENDS = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("last", pa.int32())])
+_TURN = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("piece", pa.int32()), ("first_part", pa.int64()), ("last_part", pa.int64()), ("begins", pa.bool_()), ("role", pa.string()), ("text", pa.string())])
 _TURNS = "conv_id long, block long, piece int, first_part long, last_part long, begins boolean, role string, text string"
 
 
-def _decoded(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
-    for block in _blocks(batches, ["conv", "block"]):
-        lines, part, sym = _lines(block)
-        head = block.iloc[0]
-        states = viterbi(model, sym, None if head["entry"] < 0 else int(head["entry"]), int(head["last"]))
-        starts = [i for i in range(len(states)) if not i or states[i] % 2 == 0]
-        rows = []
-        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(states)], strict=True)):
-            role = ROLES[states[a] // 2]
-            begins = bool(states[a] % 2 == 0)
-            body = "\n".join(lines[i][1] for i in range(a, b)).strip("\n")
-            rows.append((None if head["no_id"] else head["conv"], head["block"], k, part[a], part[b - 1], begins, role, (f"<|{role}|>\n" if begins else "") + body + "\n<|end|>"))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _TURNS.split(", ")])
+def _summaries(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    yield from _some(((b[0][0], b[0][1], transfer(model, _lines(b)[2], b[0][5]).ravel().tolist()) for b in _groups(batches, 2)), _MATRIX)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for conv in _groups(batches, 1):
+            ends = join_blocks([np.array(m).reshape(STATES, STATES) for _, _, m in conv])
+            yield from ((c, b, -1 if entry is None else entry, last) for (c, b, _), (entry, last) in zip(conv, ends, strict=True))
+
+    yield from _some(rows(), _ENDS)
+
+
+def _turns(block: list[tuple], model: Model) -> Iterator[tuple]:
+    lines, part, sym = _lines(block)
+    conv, number, _, _, no_id, _, entry, last = block[0]
+    states = viterbi(model, sym, None if entry < 0 else entry, last)
+    starts = [i for i in range(len(states)) if not i or states[i] % 2 == 0]
+    for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(states)], strict=True)):
+        role, begins = ROLES[states[a] // 2], bool(states[a] % 2 == 0)
+        body = "\n".join(lines[i][1] for i in range(a, b)).strip("\n")
+        yield None if no_id else conv, number, k, part[a], part[b - 1], begins, role, (f"<|{role}|>\n" if begins else "") + body + "\n<|end|>"
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    yield from _some((turn for block in _groups(batches, 2) for turn in _turns(block, model)), _TURN)
 
 
 def parse(parts: DataFrame, model: Model) -> DataFrame:
@@ -229,12 +244,12 @@ def parse(parts: DataFrame, model: Model) -> DataFrame:
     rows = named.withColumn("block", F.floor(F.col("part") / PARTS) * 2 + F.col("no_id").cast("long")).withColumn("conv", F.when(F.col("no_id"), F.lit(-1)).otherwise(F.col("conv")))
     firsts = rows.groupBy("conv", "no_id").agg(F.min("block").alias("first_block"))
     rows = rows.join(firsts, ["conv", "no_id"]).withColumn("opening", F.col("block") == F.col("first_block")).drop("first_block")
-    placed = materialize(rows.repartition("conv", "block").sortWithinPartitions("conv", "block", "part", "text"), "chat-parts")
-    again = placed.repartition("conv", "block").sortWithinPartitions("conv", "block", "part", "text")
-    matrices = again.mapInPandas(partial(_summaries, model=model), "conv long, block long, matrix array<double>")
-    ends = matrices.repartition("conv").sortWithinPartitions("conv", "block").mapInPandas(_joined, "conv long, block long, entry int, last int")
-    known = placed.join(ends, ["conv", "block"]).repartition("conv", "block").sortWithinPartitions("conv", "block", "part", "text")
-    return known.mapInPandas(partial(_decoded, model=model), _TURNS)
+    columns = ["conv", "block", "part", "text", "no_id", "opening"]
+    together = lambda df, *more: df.select(*columns, *more).repartition("conv", "block").sortWithinPartitions("conv", "block", "part", "text")
+    placed = materialize(rows.select(*columns), "chat-parts")
+    matrices = together(placed).mapInArrow(partial(_summaries, model=model), "conv long, block long, matrix array<double>")
+    ends = matrices.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(_joined, "conv long, block long, entry int, last int")
+    return together(placed.join(ends, ["conv", "block"]), "entry", "last").mapInArrow(partial(_decoded, model=model), _TURNS)
 
 
 #: Marker styles for transcripts made from rows with roles: {role} and {Role}.
