@@ -112,26 +112,26 @@ def moving_average(rows: DataFrame, keys: Sequence[str], order: str, value: str)
     ordered = w.orderBy(order)
     n = F.count("*").over(w)
     width = F.least(F.lit(10), F.greatest(F.lit(1), F.floor(n / 6))).cast("int")
-    numbered = rows.withColumns({"w": width, "k": F.row_number().over(ordered), "run": F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding, 0)), "last10": F.collect_list(value).over(ordered.rowsBetween(-9, 0))})
-    mean = F.expr("aggregate(slice(last10, greatest(size(last10) - w + 1, 1), w), 0d, (s, x) -> s + x)") / F.col("w")
-    return numbered.where(F.col("k") >= F.col("w")).select(*keys, order, "w", mean.alias("smoothed"))
+    numbered = rows.withColumns({"w_": width, "k_": F.row_number().over(ordered), "last_": F.collect_list(value).over(ordered.rowsBetween(-9, 0))})
+    mean = F.expr("aggregate(slice(last_, greatest(size(last_) - w_ + 1, 1), w_), 0d, (s, x) -> s + x)") / F.col("w_")
+    return numbered.where(F.col("k_") >= F.col("w_")).select(*keys, order, F.col("w_").alias("w"), mean.alias("smoothed"))
 
 
 def final_fraction_mean(rows: DataFrame, keys: Sequence[str], order: str, value: str, fraction: float = 0.2) -> DataFrame:
     """Mean of the last ``max(1, round(fraction * n))`` rows, halves to even."""
     w = Window.partitionBy(*keys)
     last = F.greatest(F.lit(1), F.bround(F.count("*").over(w) * fraction, 0)).cast("long")
-    return rows.withColumns({"last": last, "k": F.row_number().over(w.orderBy(F.desc(order)))}).where(F.col("k") <= F.col("last")).groupBy(*keys).agg(F.avg(value).alias("final_mean"), F.count("*").alias("n"))
+    return rows.withColumns({"last_": last, "k_": F.row_number().over(w.orderBy(F.desc(order)))}).where(F.col("k_") <= F.col("last_")).groupBy(*keys).agg(F.avg(value).alias("final_mean"), F.count("*").alias("n"))
 
 
 def last_rows(rows: DataFrame, keys: Sequence[str], order: str, n: int = 5) -> DataFrame:
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("k") <= n).drop("k")
+    return rows.withColumn("k_", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("k_") <= n).drop("k_")
 
 
 def drop_warm_up(rows: DataFrame, key: str = "phase", step: str = "timestep") -> DataFrame:
     """Rows after the first timestep, or all of a phase that has no others."""
     later = F.max((F.col(step) > 0).cast("int")).over(Window.partitionBy(key))
-    return rows.withColumn("later", later).where((F.col(step) > 0) | (F.col("later") == 0)).drop("later")
+    return rows.withColumn("later_", later).where((F.col(step) > 0) | (F.col("later_") == 0)).drop("later_")
 
 
 def milestones(rows: DataFrame, keys: Sequence[str], step: str = "timestep", percents: Sequence[int] = (0, 25, 50, 75, 100)) -> DataFrame:
@@ -139,8 +139,8 @@ def milestones(rows: DataFrame, keys: Sequence[str], step: str = "timestep", per
     w = Window.partitionBy(*keys)
     place = F.dense_rank().over(w.orderBy(step)) - 1
     n = F.size(F.collect_set(step).over(w))
-    at = F.array_distinct(F.array(*[F.least(F.floor(F.col("steps") * p / 100), F.col("steps") - 1).cast("int") for p in percents]))
-    return rows.withColumns({"place": place, "steps": n}).where(F.array_contains(at, F.col("place"))).drop("place", "steps")
+    at = F.array_distinct(F.array(*[F.least(F.floor(F.col("steps_") * p / 100), F.col("steps_") - 1).cast("int") for p in percents]))
+    return rows.withColumns({"place_": place, "steps_": n}).where(F.array_contains(at, F.col("place_"))).drop("place_", "steps_")
 
 
 def quantile_summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

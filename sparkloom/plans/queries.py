@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -534,8 +535,6 @@ def codec_ratio_by_chunk(spark, d):
 
 @query()
 def byte_shuffle_roundtrip(spark, d):
-    import pandas as pd
-
     @F.pandas_udf("struct<same: boolean, planes: binary>")
     def both(x: pd.Series) -> pd.DataFrame:
         planes = [codec.shuffle(b) for b in x]
