@@ -215,7 +215,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     copy of the row that begins the next one, so neighbours are found within stretches.
     """
     spark = docs.sparkSession
-    pieces = 2 * shuffle_partitions(spark)
+    pieces = 8 * shuffle_partitions(spark)
     ids = F.col("doc_id").cast("long")
     cuts = docs.select(F.percentile_approx(ids, [k / pieces for k in range(1, pieces)] or [0.5], 100 * pieces)).first()[0]
     bounds = np.unique(np.array(cuts or [], np.int64))
