@@ -27,7 +27,7 @@ SLOTS_AT_ONCE = 1 << 14
 #: Sources the driver holds at most (their totals only); more raise an error.
 MAX_SOURCES = 100_000
 #: Documents of a source that are ordered in one task, about.
-GROUP = 1000
+GROUP = 200
 #: 2^64 divided by the golden ratio.
 GOLDEN = 11400714819323198485
 
@@ -166,7 +166,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     sized = materialize(
         docs.select(
-            "doc_id", "source", size.alias("size"), _row_key().alias("row_key"), F.monotonically_increasing_id().alias("row"),
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), _row_key().alias("row_key"), F.monotonically_increasing_id().alias("row"),
             F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
         ),
         "mix-sizes",
@@ -201,7 +201,7 @@ def taken(mix: Mix, block: int = BLOCK) -> DataFrame:
 
 
 def _row_key():
-    return F.xxhash64("doc_id", "source", "text")
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
 
 
 def mixed_documents(docs: DataFrame, **plan) -> DataFrame:
@@ -220,11 +220,11 @@ def mixed_documents(docs: DataFrame, **plan) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words"))).alias("spans"))
     )
     # a row is found again by a digest of its id, source and text; equal rows by their number among equals
-    by_key = mix.docs.join(spans, "row").groupBy("row_key").agg(F.collect_list(F.struct("row", "size", "spans")).alias("found"))
+    by_key = mix.docs.join(spans, "row").groupBy(F.col("row_key").alias("plan_key_")).agg(F.collect_list(F.struct("row", "size", "spans")).alias("plan_found_"))
     numbered = docs.withColumn("row_key_", _row_key()).withColumn("copy_", F.row_number().over(Window.partitionBy("row_key_").orderBy(F.lit(1))))
     got = (
-        numbered.join(by_key, F.col("row_key_") == F.col("row_key"))
-        .withColumn("found_", F.try_element_at(F.array_sort("found"), F.col("copy_")))
+        numbered.join(by_key, F.col("row_key_") == F.col("plan_key_"))
+        .withColumn("found_", F.try_element_at(F.array_sort("plan_found_"), F.col("copy_")))
         .where("found_ is not null")
         .select(*[F.col(f"`{c}`") for c in columns], F.col("found_.size").alias("size_"), F.explode("found_.spans").alias("span_"))
     )
