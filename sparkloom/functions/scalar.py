@@ -194,3 +194,19 @@ def quant_flags(kind: Column, precision_code: Column, enabled: Column, algo_id:
 
 def unpack_quant_flags(flags: Column) -> dict[str, Column]:
     return {"kind": flags.bitwiseAND(15), "precision_code": F.shiftright(flags, 4).bitwiseAND(15), "enabled": F.shiftright(flags, 8).bitwiseAND(1), "algo_id": F.shiftright(flags, 9).bitwiseAND(15)}
+
+
+def double_halves(x: Column) -> tuple[Column, Column]:
+    """The low and high 32 bits of a double, as filter parameters carry it."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x).cast("long")
+    return bits.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(bits, 32)
+
+
+def double_of_halves(low: Column, high: Column) -> Column:
+    """The double of :func:`double_halves`."""
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), F.shiftleft(high, 32).bitwiseOR(low)).cast("double")
+
+
+def whole_floats(n_bytes: Column) -> Column:
+    """Whether a size is positive and a whole number of floats."""
+    return (n_bytes > 0) & (n_bytes % 4 == 0)

@@ -174,3 +174,22 @@ def compression_stats(encoded: DataFrame, keys: list[str]) -> DataFrame:
     """``ratio_total`` counts the header, ``ratio_payload`` does not."""
     n, size = F.col("original_bytes"), F.octet_length("encoded")
     return encoded.select(*keys, "original_bytes", size.alias("encoded_bytes"), (n / size).alias("ratio_total"), F.when(size > 64, n / (size - 64)).alias("ratio_payload"))
+
+
+def _encode_or_raw(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out, sizes = [], []
+        for v, a, s, e in zip(_floats(b.column("values")), b.column("comp_algo").to_pylist(), b.column("shuffle").to_pylist(), b.column("error_bound").to_pylist(), strict=True):
+            raw = v.tobytes()
+            enc = encode_chunk(v, a, bool(s), e)
+            # raw bytes that begin like a header would be read as one, so they are always encoded
+            out.append(raw if (enc is None or len(enc) >= len(raw)) and raw[:4] != MAGIC else enc if enc is not None else encode_chunk(v, "lz4", False))
+            sizes.append(len(raw))
+        yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], names=[*b.schema.names[:keep], "encoded", "original_bytes"])
+
+
+def encode_or_raw(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Like :func:`encode`, with raw bytes where the encoding is not smaller or has no codec here."""
+    cols = [*keys, "comp_algo", "shuffle", "error_bound"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.select(*cols).schema)
+    return chunks.select(*cols, "values").mapInArrow(partial(_encode_or_raw, keep=len(cols)), f"{schema}, encoded binary, original_bytes long")

@@ -285,3 +285,74 @@ def pareto(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Rows that no other row beats in both of two values to be large: a running maximum over a sort."""
     w = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(F.desc(a), F.desc(b)).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("top_", F.max(b).over(w)).where(F.col("top_").isNull() | (F.col(b) > F.col("top_"))).drop("top_")
+
+
+# -- reports ----------------------------------------------------------------------------------
+
+
+def phase_average(rows: DataFrame, numbers: Sequence[str]) -> DataFrame:
+    """Means by phase over fields, in the fixed order of phases; unknown phases last."""
+    from ..functions.dimensions import phase
+
+    s = rows.groupBy("phase").agg(*[F.avg(c).alias(c) for c in numbers])
+    return s.join(F.broadcast(phase(rows.sparkSession)), "phase", "left").withColumn("ordinal", F.coalesce("ordinal", F.lit(999)))
+
+
+def align_phases(tables: dict[str, DataFrame], phases: Sequence[str], value: str) -> DataFrame:
+    """``ordinal, phase`` and a column for each dataset; null where it has no such phase."""
+    spark = next(iter(tables.values())).sparkSession
+    out = spark.createDataFrame(list(enumerate(phases)), "ordinal int, phase string")
+    for name, t in tables.items():
+        out = out.join(t.groupBy("phase").agg(F.avg(value).alias(name)), "phase", "left")
+    return out
+
+
+def epoch_series(rows: DataFrame, keys: Sequence[str], means: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Means and sums by epoch and ``keys``."""
+    return rows.groupBy("epoch", *keys).agg(*[F.avg(c).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums])
+
+
+def epoch_milestones(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of every ``n // 5``-th distinct epoch and of the last."""
+    w = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
+    ranked = rows.withColumns({"place_": F.dense_rank().over(w.orderBy("epoch")) - 1, "epochs_": F.size(F.collect_set("epoch").over(w))})
+    step = F.greatest(F.lit(1), F.floor(F.col("epochs_") / 5))
+    return ranked.where((F.col("place_") % step == 0) | (F.col("place_") == F.col("epochs_") - 1)).drop("place_", "epochs_")
+
+
+def profiled_timesteps(step: Column, total: Column) -> Column:
+    """Whether a timestep is profiled: 0, 5, 10 and every tenth part of the run."""
+    tenth = F.greatest(F.lit(1), F.floor(total / 10))
+    return step.isin(0, 5, 10) | (F.pmod(step, tenth) == 0)
+
+
+def flag_large_errors(rows: DataFrame, column: str, limit_pct: float = 50.0) -> DataFrame:
+    return rows.withColumn("flagged", F.col(column) > limit_pct)
+
+
+def positive_regret_mean(rows: DataFrame, keys: Sequence[str], value: str = "regret") -> DataFrame:
+    """Mean of finite positive values."""
+    v = F.when((F.col(value) > 0) & (F.col(value) < float("inf")), F.col(value))
+    return rows.groupBy(*keys).agg(F.avg(v).alias("mean_regret"))
+
+
+def metric_regret(chosen: Column, best: Column) -> Column:
+    """Absolute difference of a metric; 0 where it is not finite."""
+    d = F.abs(chosen - best)
+    return F.when(F.isnan(d) | (d == float("inf")) | d.isNull(), F.lit(0.0)).otherwise(d)
+
+
+def observed(rows: DataFrame, name: str, **conditions: Column):
+    """(rows, observation): counts of conditions gathered while the rows go by, such as cache hits."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return rows.observe(seen, *[F.count_if(c).alias(k) for k, c in conditions.items()]), seen
+
+
+def enriched(rows: DataFrame, sources: Sequence[DataFrame], on: Sequence[str], value: str) -> DataFrame:
+    """``value`` from the first source that has it, by left joins."""
+    for k, s in enumerate(sources):
+        rows = rows.join(s.select(*on, F.col(value).alias(f"source_{k}_")), list(on), "left")
+    names = [f"source_{k}_" for k in range(len(sources))]
+    return rows.withColumn(value, F.coalesce(*[F.col(n) for n in names])).drop(*names)

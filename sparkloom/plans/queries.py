@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dimensions, scalar
 from ..operators import chunking, codec, mlprep, predict, quality, select, stats, synth, telemetry
 from ..streaming import learn
-from . import derived
+from . import arrays, derived
 from .derived import CHUNK, chunks, read, trace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -440,6 +440,44 @@ def pareto_front(spark, d):
     return rounded(telemetry.pareto(r, ["phase"], "ratio", "mibps"))
 
 
+_PHASES = dimensions.PHASES
+
+
+@query(f"""with {_STEPS}, p(ordinal, phase) as (values {', '.join(f"({i}, '{p}')" for i, p in enumerate(_PHASES))})
+select s.phase, coalesce(any_value(ordinal), 999)::int as ordinal, round(avg(comp_ms), 6) as comp_ms, round(avg(io_ms), 6) as io_ms from steps s left join p using (phase) group by s.phase""")
+def phase_average(spark, d):
+    return rounded(telemetry.phase_average(derived.timesteps(spark, d), ["comp_ms", "io_ms"]))
+
+
+@query(f"""with {_STEPS}, p(ordinal, phase) as (values (0, 'zstd'), (1, 'nn-rl/balanced'), (2, 'nothing'))
+select ordinal, p.phase, round((select avg(comp_ms) from steps s where s.phase = p.phase), 6) as first_set, round((select avg(comp_ms) from steps s where s.phase = p.phase and timestep > 9), 6) as second_set from p""")
+def phase_alignment(spark, d):
+    t = derived.timesteps(spark, d)
+    return rounded(telemetry.align_phases({"first_set": t, "second_set": t.where("timestep > 9")}, ["zstd", "nn-rl/balanced", "nothing"], "comp_ms"))
+
+
+@query(f"with {_STEPS} select phase, timestep, timestep in (0, 5, 10) or timestep % 2 = 0 as profiled, comp_ms / orig_mib > 10 as flagged from steps")
+def profiled_timesteps(spark, d):
+    t = derived.timesteps(spark, d).withColumn("rate", F.col("comp_ms") / F.col("orig_mib"))
+    return telemetry.flag_large_errors(t, "rate", 10.0).select("phase", "timestep", telemetry.profiled_timesteps(F.col("timestep"), F.lit(20)).alias("profiled"), "flagged")
+
+
+@query(_CHOSEN + " select comp_lib, round(avg(regret) filter (regret > 0), 6) as mean_regret from chosen group by all")
+def positive_regret(spark, d):
+    return rounded(telemetry.positive_regret_mean(_chosen(spark, d), ["comp_lib"]))
+
+
+@query(_TRACE + " select comp_lib, round(quantile_cont(pred_cost, 0.95), 6) as p95 from trace where pred_cost > 0 group by all")
+def p95_cost(spark, d):
+    return rounded(telemetry.p95_of_positive(trace(spark, d), ["comp_lib"], "pred_cost"))
+
+
+@query(f"with {_STEPS}, r as (select split_part(phase, '/', 2) as policy, orig_mib / file_mib as ratio, orig_mib * 1000 / write_ms as write_mibps from steps where phase like 'nn%') select policy, round(max(ratio), 6) as ratio, round(max(write_mibps), 6) as write_mibps from r group by all")
+def policy_comparison(spark, d):
+    t = derived.timesteps(spark, d).where(F.col("phase").startswith("nn")).withColumns({"policy": telemetry.split_policy(F.col("phase"))["policy"], "ratio": F.col("orig_mib") / F.col("file_mib"), "write_mibps": F.col("orig_mib") * 1000 / F.col("write_ms")})
+    return rounded(telemetry.policy_best(t))
+
+
 # -- model preparation ------------------------------------------------------------------------
 
 
@@ -552,6 +590,20 @@ def header_pack_unpack(spark, d):
     return f.select("flags", *[c.alias(n) for n, c in scalar.unpack_quant_flags(F.col("flags")).items()])
 
 
+@query()
+def array_write_read(spark, d):
+    """A field written under the model's choice and read back: nothing is lost within the bound."""
+    f, options = derived.field(spark, d), arrays.Options(error_bound=0.01, chunk=CHUNK)
+    coded = arrays.write_field(f, options, predict.seeded_weights())
+    return rounded(arrays.verify(f, arrays.read_field(coded, CHUNK), 0.01))
+
+
+@query()
+def exhaustive_selection(spark, d):
+    table = arrays.chunk_table(derived.field(spark, d), CHUNK)
+    return arrays.infer(table, arrays.Options(selector="exhaustive", error_bound=0.01), predict.seeded_weights())
+
+
 @query()
 def mlp_predict(spark, d):
     s = stats.features(chunks(spark, d)).select("chunk_id", (F.col("n") * 4).alias("n_bytes"), "entropy", "mad", "deriv")

@@ -125,6 +125,63 @@ def test_back_fill(spark):
     assert sorted(map(tuple, learn.back_fill(a, a.where("chunk_id = 1").withColumn("decomp_ms", F.lit(9.0))).collect())) == [(1, 9.0), (2, 5.0)]
 
 
+# -- whole arrays -----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("options", [
+    dict(), dict(selector="heuristic"), dict(selector="zstd", shuffle=True), dict(selector="ans"), dict(selector="exhaustive", error_bound=0.1), dict(error_bound=0.1, policy="ratio"), dict(mode="bypass"),
+])
+def test_write_and_read(spark, options):
+    from sparkloom.plans import arrays
+
+    rng = np.random.default_rng(0)
+    rows = [("a", i, float(np.float32(v))) for i, v in enumerate(np.cumsum(rng.normal(size=700)))] + [("b", 0, float("nan")), ("b", 1, 1.0)]
+    f = spark.createDataFrame(rows, "field_id string, idx long, value float")
+    o = arrays.Options(chunk=128, **options)
+    coded = arrays.write_field(f, o, predict.seeded_weights())
+    back = arrays.read_field(coded, 128)
+    v = {r["field_id"]: r for r in arrays.verify(f, back, o.error_bound).collect()}
+    assert v["a"]["lost"] == v["b"]["lost"] == 0 and v["a"]["violations"] == 0 and v["b"]["mismatches"] == 1
+    assert all(r["encoded_bytes"] <= r["original_bytes"] or not r["passed_through"] for r in coded.collect())
+
+
+def test_unknown_options(spark):
+    from sparkloom.plans import arrays
+
+    with pytest.raises(ValueError):
+        arrays.Options(policy="fastest").weights()
+    f = spark.createDataFrame([("a", 0, 1.0)], "field_id string, idx long, value float")
+    with pytest.raises(ValueError):
+        arrays.write_field(f, arrays.Options(selector="magic"), predict.seeded_weights())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sparkloom import cli
+
+    np.cumsum(np.ones(300, "<f4")).astype("<f4").tofile(tmp_path / "x.f32")
+    assert cli.main(["compress", str(tmp_path / "x.f32"), str(tmp_path / "c"), "--chunk", "64", "--verify"], spark) == 0
+    assert "verified" in capsys.readouterr().out
+    assert cli.main(["decompress", str(tmp_path / "c"), str(tmp_path / "d"), "--chunk", "64"], spark) == 0
+    assert [r["value"] for r in spark.read.parquet(str(tmp_path / "d")).orderBy("idx").collect()] == list(range(1, 301))
+    assert cli.main(["predict", str(tmp_path / "x.f32")], spark) == 0
+
+
+def test_doubles_in_halves(spark):
+    from sparkloom.functions import scalar
+
+    df = spark.createDataFrame([(0.001,), (-2.5e300,), (0.0,)], "x double")
+    low, high = scalar.double_halves(F.col("x"))
+    assert all(r["x"] == r["y"] for r in df.withColumn("y", scalar.double_of_halves(low, high)).collect())
+
+
+def test_observed_counts(spark):
+    from sparkloom.operators import telemetry as t
+
+    rows, seen = t.observed(spark.range(10), "cache", hits=F.col("id") < 3, misses=F.col("id") >= 3)
+    rows.count()
+    assert seen.get == {"hits": 3, "misses": 7}
+
+
 # -- preparation ------------------------------------------------------------------------------
 
 
