@@ -40,6 +40,7 @@ ESCAPE = 0
 BLOCK = 1024
 #: A record ends with the document that reaches so many ids.
 RECORD_IDS = 1 << 19
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 _HEAD = struct.Struct("<4sIQIIQQ")
 _SHIFT = np.uint64(60)
 
@@ -49,33 +50,37 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     n = len(ids)
     if not n:
         return np.zeros(0, "<u8"), np.zeros(0, "<u4"), np.zeros(0, "<u8")
-    lanes = -(-n // block)
-    reach = int(COUNTS.max())
-    values = np.zeros((lanes, block + reach), np.uint64)
-    flat = np.zeros(lanes * block, np.uint64)
-    flat[:n] = ids
-    values[:, :block] = flat.reshape(lanes, block)
-    bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
-    best = np.where(bits[:, :block] <= 60, 14, ESCAPE).astype(np.uint8)
-    widest = {1: bits}
-    span = 1
+    lanes, reach = -(-n // block), int(COUNTS.max())
+    stride = block + reach
+    small = int(ids.max()) < len(_BITS)
+    values = np.zeros((lanes, stride), np.uint32 if small else np.uint64)
+    whole = n // block
+    values[:whole, :block] = ids[: whole * block].reshape(whole, block)
+    if whole < lanes:
+        values[whole, : n - whole * block] = ids[whole * block :]
+    bits = _BITS[values] if small else np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    # a window that fits a selector also fits all with fewer and wider ids, so their number tells the best
+    widest, span = {1: bits}, 1
     while 2 * span <= reach:
         w = widest[span].copy()
         np.maximum(w[:, :-span], widest[span][:, span:], out=w[:, :-span])
         widest[2 * span] = w
         span *= 2
+    best = (bits[:, :block] <= 60).astype(np.uint8)
     for s in range(13, 0, -1):
         count, width = int(COUNTS[s]), int(WIDTHS[s])
         half = 1 << (count.bit_length() - 1)
-        w = widest[half]
-        fits = np.maximum(w[:, :block], w[:, count - half : count - half + block]) <= width
-        best[fits] = s
+        fits = np.maximum(widest[half][:, :block], widest[half][:, count - half : count - half + block]) <= width
+        if not fits.any():
+            break
+        best += fits
+    best = np.where(best == 0, ESCAPE, 15 - best).ravel()
     size = np.full(lanes, block, np.int64)
     size[-1] = n - (lanes - 1) * block
     at, lane = np.zeros(lanes, np.int64), np.arange(lanes)
     hit_lane, hit_at, hit_sel = [], [], []
     while len(lane):
-        s = best[lane, at]
+        s = best[lane * block + at]
         hit_lane.append(lane)
         hit_at.append(at)
         hit_sel.append(s)
@@ -86,16 +91,17 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     order = np.argsort(lane, kind="stable")
     lane, at, sel = lane[order], at[order], sel[order]
     words = sel.astype(np.uint64) << _SHIFT
+    flat, place = values.ravel(), lane * stride + at
     for s in range(1, len(COUNTS)):
         own = np.flatnonzero(sel == s)
         if len(own):
-            a, b = lane[own], at[own]
-            got = np.zeros(len(own), np.uint64)
-            for j in range(int(COUNTS[s])):
-                got |= values[a, b + j] << np.uint64(j * int(WIDTHS[s]))
+            p = place[own]
+            got = flat[p].astype(np.uint64)
+            for j in range(1, int(COUNTS[s])):
+                got |= flat[p + j].astype(np.uint64) << np.uint64(j * int(WIDTHS[s]))
             words[own] |= got
     own = np.flatnonzero(sel == ESCAPE)
-    escapes = values[lane[own], at[own]]
+    escapes = flat[place[own]].astype(np.uint64)
     words[own] |= np.arange(len(own), dtype=np.uint64)
     offsets = np.searchsorted(lane, np.arange(lanes)).astype("<u4")
     return words.astype("<u8"), offsets, escapes.astype("<u8")
