@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import CACHE_CHUNKS, ChunkEncoder
+from .tokens import ChunkEncoder
 
 
 class SpanEncoder(ChunkEncoder):
@@ -25,7 +25,7 @@ class SpanEncoder(ChunkEncoder):
     Spans in the cache count from the space before the chunk.
     """
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache_chunks: int = 1_000_000):
         super().__init__(path, "<u4", cache_chunks)
 
     def _whole(self, texts: list[str]) -> list[bytes]:

@@ -18,7 +18,7 @@ import numpy as np
 #: Texts handed to the encoder at once.
 TEXTS_AT_ONCE = 256
 #: Chunks a Python worker remembers; beyond it the older half is forgotten.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 2_000_000
 #: Chunks encoded by one call of the library.
 CHUNKS_PER_CALL = 512
 #: A control character put between chunks where white space leaves no trace in the ids.
@@ -95,8 +95,23 @@ class ChunkEncoder:
             self._some(texts[k : k + TEXTS_AT_ONCE], out, k)
         return out  # type: ignore[return-value]
 
+    def _parts(self, text: str) -> list[str]:
+        """Chunks of a text: the first as it stands at the begin, the others after a space.
+
+        Where white space leaves no trace and letters become small, that is done first for texts of Latin-1
+        characters, for which Python and the tokenizer agree; the first chunk is then the empty one.
+        """
+        if not self._spaced:
+            try:
+                raw = text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.split(" ")
+            if len(raw.translate(None, b"\x1c\x1d\x1e\x1f")) == len(raw):  # not white space to the tokenizer
+                return ["", *text.lower().split()]
+        return text.split(" ")
+
     def _some(self, texts: list[str], out: list, base: int) -> None:
-        parts = [t.split(" ") for t in texts]
+        parts = [self._parts(t) for t in texts]
         found = [list(map(self._new.get, p)) for p in parts]
         holes = [[i for i, ids in enumerate(got) if ids is None and i] for got in found]
         missing = {p[i] for p, hole in zip(parts, holes, strict=True) for i in hole}
@@ -111,7 +126,9 @@ class ChunkEncoder:
         for j, (p, got) in enumerate(zip(parts, found, strict=True)):
             first = p[0]
             try:
-                if len(p) > 1 and (not first or first[0].isspace() or first[-1].isspace()):
+                if not first and len(p) > 1 and not self._spaced and texts[j][:1] != " ":
+                    out[base + j] = b"".join(got[1:])
+                elif len(p) > 1 and (not first or first[0].isspace() or first[-1].isspace()):
                     whole.append(j)
                 else:
                     out[base + j] = b"".join(got[1:])
