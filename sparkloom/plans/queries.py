@@ -341,16 +341,17 @@ def best_static_config(spark, d):
     return rounded(telemetry.best_static(trace(spark, d)))
 
 
-_GRID = (0.05, 0.1, 0.2, 0.3, 0.5, 1.0)
+_GRID, _DELTAS = (0.05, 0.1, 0.2, 0.3, 0.5), (0.05, 0.2, 0.5)
 
 
-@query(_CHOSEN + f""", g(x) as (values {', '.join(f'({x}::double)' for x in _GRID)}), pr as (select a.x as x1, b.x as x2 from g a, g b where a.x <= b.x),
-z as (select *, case when mape_cost_frac > x2 then 2 when mape_cost_frac > x1 then 1 else 0 end as md from chosen, pr),
-y as (select x1, x2, avg(case md when 2 then 0.0::double when 1 then 0.5::double else 1.0::double end * regret) as regret, avg(case md when 2 then 0.0::double when 1 then 0.5::double else 1.0::double end * mape_cost_frac) as error_frac,
-  avg(real_comp_ms + case md when 2 then 35.0::double when 1 then 3.0::double else 0.0::double end) as write_ms, avg((md = 0)::int) as frac0 from z group by all)
-select x1, x2, round(regret, 6) as regret, round(error_frac, 6) as error_frac, round(write_ms, 6) as write_ms, round(frac0, 6) as frac0, round(regret + greatest(frac0 - 0.6::double, 0.0) * 0.22::double, 6) as penalised_regret from y""")
+@query(_CHOSEN + f""", opt as (select chunk_id, real_comp_ms as o_ms, real_ratio as o_ratio from (select *, row_number() over (partition by chunk_id order by real_cost, action64) as kk from trace) where kk = 1),
+g(x) as (values {', '.join(f'({x}::double)' for x in _GRID)}), dl(d) as (values {', '.join(f'({x}::double)' for x in _DELTAS)}),
+z as (select *, case when mape_cost_frac < x then 0 when mape_cost_frac < x + d then 1 else 2 end as md from chosen join opt using (chunk_id), g, dl),
+y as (select x as x1, d as delta, avg(case md when 0 then regret when 1 then regret * 0.5::double else 0.0::double end) as regret, avg(case md when 0 then least(mape_cost_frac, 100.0) when 1 then least(mape_cost_frac, 100.0) * 0.5::double else 0.0::double end) as error_frac,
+  avg(chunk_bytes / (case md when 0 then real_comp_ms when 1 then real_comp_ms + 3 else o_ms + 35 end + chunk_bytes / greatest(0.001::double, least(100.0::double, case md when 2 then o_ratio else real_ratio end)) / 300000.0::double)) as rate, avg((md = 0)::int) as frac0 from z group by all)
+select x1, delta, round(regret, 6) as regret, round(error_frac, 6) as error_frac, round(rate * (1 - greatest(frac0 - 0.6::double, 0.0) * 0.22::double), 6) as rate, round(frac0, 6) as frac0 from y""")
 def threshold_sweep(spark, d):
-    return rounded(telemetry.threshold_sweep(_chosen(spark, d).withColumnRenamed("mape_cost_frac", "cost_error_frac"), _GRID))
+    return rounded(telemetry.threshold_sweep(trace(spark, d), _GRID, _DELTAS))
 
 
 @query(_TRACE + """, fin as (select *, count(*) over (partition by comp_lib, error_bound) as n, row_number() over (partition by comp_lib, error_bound order by chunk_id desc) as kk from trace)
