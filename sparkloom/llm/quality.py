@@ -20,18 +20,18 @@ from pyspark.sql import functions as F
 from .shingles import lowered, words_in
 
 #: Labelled documents that the field is fitted on at most (those with the least hash of their id).
-FIT_DOCS = 4000
+FIT_DOCS = 3000
 #: Labelled documents with more lines are not drawn for fitting; all documents are scored whole.
-FIT_LINES = 2000
+FIT_LINES = 300
 THRESHOLD = 0.3
 
-_LETTER, _DIGIT, _SPACE, _STOP, _BAR, _MARK, _OTHER = range(7)
+_LETTER, _DIGIT, _SPACE, _STOP, _BAR, _MARK, _SHOUT, _OTHER = range(8)
 _CLASS = np.full(256, _OTHER, np.int64)
 _CLASS[128:] = _LETTER
-for _chars, _c in ((b"abcdefghijklmnopqrstuvwxyz", _LETTER), (b"0123456789", _DIGIT), (b" \t\n\x0b\x0c\r", _SPACE), (b".,;:!?'\"()-", _STOP), (b"|", _BAR), (b"#$%&*", _MARK)):
+for _chars, _c in ((b"abcdefghijklmnopqrstuvwxyz", _LETTER), (b"0123456789", _DIGIT), (b" \t\n\x0b\x0c\r", _SPACE), (b".,;:?'\"()-", _STOP), (b"!", _SHOUT), (b"|", _BAR), (b"#$%&*", _MARK)):
     _CLASS[list(_chars)] = _c
 #: Features of a line itself.
-OWN = 14
+OWN = 16
 #: With those of both neighbours and a constant.
 WIDTH = 3 * OWN + 1
 
@@ -45,7 +45,8 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     begins = np.append(0, ends[:-1] + 1)
     length = ends - begins + 1
     line = np.repeat(np.arange(n), length)
-    counts = np.bincount(line * 7 + _CLASS[raw], minlength=7 * n).reshape(n, 7).astype(np.float64)
+    counts = np.bincount(line * 8 + _CLASS[raw], minlength=8 * n).reshape(n, 8).astype(np.float64)
+    upper = np.bincount(line, np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) != raw, n)
     digest, wb, we = words_in(raw)
     words = np.zeros(n)
     again, short, long = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -73,6 +74,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
             np.minimum(np.log1p(length) / 5, 2), counts[:, _LETTER] / chars, 5 * counts[:, _DIGIT] / chars, counts[:, _STOP] / chars * 5,
             np.minimum(counts[:, _BAR] / some, 1), np.minimum(counts[:, _MARK] / some, 2), counts[:, _OTHER] / chars * 5, again / some,
             np.minimum(2 * again, 1), short / some, long / some, np.minimum((length - 1) / some / 10, 3), words == 0, (copied > 0) & (words > 0),
+            np.minimum(counts[:, _SHOUT] / some, 2), upper / chars * 2,
         ],
         axis=1,
     )
@@ -154,7 +156,7 @@ def marginals(unary: np.ndarray, stay: np.ndarray, lines: np.ndarray) -> tuple[n
     return good, pairs
 
 
-def fit(features: np.ndarray, length: np.ndarray, lines: np.ndarray, labels: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> Field:
+def fit(features: np.ndarray, length: np.ndarray, lines: np.ndarray, labels: np.ndarray, steps: int = 150, ridge: float = 1e-3) -> Field:
     """Fit by full-batch ascent (Adam) on the labels' likelihood; deterministic.
 
     Without both classes the score is a constant: the share of label 1, or 0.5 without labels.
