@@ -5,12 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Word separators of every word-based contract: space and the control characters 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Rows, and bytes of text, that numpy code takes at once; a longer text is taken alone.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
+
 _scratch: list[str] = []
 
 
@@ -19,6 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_slices(batch: pa.RecordBatch, column: int = 1, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold few rows and little text, so that work arrays stay small."""
+    n = batch.num_rows
+    if not n:
+        return
+    total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    at = 0
+    while at < n:
+        end = int(np.searchsorted(total, total[at] + size, side="right")) - 1
+        end = min(max(end, at + 1), at + rows, n)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

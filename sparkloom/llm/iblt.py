@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, text_slices
 from .shingles import mix64, words_in
 
 #: Cells of a fingerprint.
@@ -175,8 +175,7 @@ def edited(text: str, other: str) -> str:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = batch.slice(at, 256)
+        for rows in text_slices(batch):
             texts, nexts = ([t or "" for t in rows.column(i).to_pylist()] for i in (1, 2))
             changed = [edited(t, o).encode() for t, o in zip(texts, nexts, strict=True)]
             own, new, after = (paragraph_digests(x) for x in ([t.encode() for t in texts], changed, [t.encode() for t in nexts]))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_slices
 from .shingles import mix64, shingle_sets
 
 SLOTS = 48
@@ -37,7 +37,7 @@ KEY_ROWS = 1024
 #: Documents of a block whose sets are compared with another block's.
 BLOCK_DOCS = 512
 #: Cells of an incidence matrix at once.
-CELLS = 1 << 24
+CELLS = 1 << 22
 
 _random = np.random.Generator(np.random.PCG64(48))
 _A = _random.integers(0, 1 << 32, SLOTS, dtype=np.uint32) | np.uint32(1)
@@ -80,8 +80,7 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = batch.slice(at, 256)
+        for rows in text_slices(batch):
             sets = shingle_sets([(t or "").encode() for t in rows.column(1).to_pylist()], k)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -106,8 +105,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = batch.slice(at, 256)
+        for rows in text_slices(batch):
             sets = shingle_sets([(t or "").encode() for t in rows.column(1).to_pylist()], k)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 

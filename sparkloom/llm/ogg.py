@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 #: Samples of a packet; payloads are padded to a positive multiple.
 PACKET = 576
 #: Sample rate of the granule clock.
@@ -184,8 +186,7 @@ def features(payload: bytes, times: list[float]) -> str:
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, batch.num_rows, 512):
-            rows = batch.slice(k, 512)
+        for rows in text_slices(batch):
             texts = [(t or "").encode() for t in rows.column(1).to_pylist()]
             media = [write_samples(padded(t), len(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(media, pa.large_binary()).cast(pa.binary())], names=["doc_id", "media"])

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_slices
 from .tokens import encoder
 
 #: Tokens of a sequence.
@@ -43,8 +43,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, dtype: st
     tail, size = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
     sent: dict[str | None, int] = {}
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            rows = batch.slice(k, 256)
+        for rows in text_slices(batch):
             ids = [x + tail for x in enc.encode([t or "" for t in rows.column(1).to_pylist()])]
             counts, before = [len(x) // size for x in ids], []
             for source, n in zip(rows.column(2).to_pylist(), counts, strict=True):

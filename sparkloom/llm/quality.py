@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
 from .shingles import lowered, words_in
 
 #: Labelled documents that the field is fitted on at most (those with the least hash of their id).
@@ -192,15 +193,20 @@ def fit(features: np.ndarray, length: np.ndarray, lines: np.ndarray, labels: np.
     return field
 
 
+def _encoded(texts: pa.Array) -> list[bytes]:
+    return [(t or "").encode() for t in texts.to_pylist()]
+
+
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        features, length, lines = line_features([(t or "").encode() for t in batch.column(1).to_pylist()]) if batch.num_rows else (np.zeros((0, WIDTH)),) * 3
-        ends = np.cumsum(lines)
-        rows = [(a, b) for a, b in zip((ends - lines).astype(int).tolist(), ends.astype(int).tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array([features[a:b].astype("<f8").tobytes() for a, b in rows], pa.binary()), pa.array([length[a:b].astype("<i8").tobytes() for a, b in rows], pa.binary())],
-            names=["doc_id", "quality", "features", "length"],
-        )
+        for some in text_slices(batch):
+            features, length, lines = line_features(_encoded(some.column(1)))
+            ends = np.cumsum(lines)
+            rows = list(zip((ends - lines).tolist(), ends.tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), some.column(2), pa.array([features[a:b].astype("<f8").tobytes() for a, b in rows], pa.binary()), pa.array([length[a:b].astype("<i8").tobytes() for a, b in rows], pa.binary())],
+                names=["doc_id", "quality", "features", "length"],
+            )
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
@@ -222,7 +228,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> F
 
 def _score(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        scores = [field.scores([(t or "").encode() for t in batch.column(1).slice(k, 256).to_pylist()]) for k in range(0, batch.num_rows, 256)]
+        scores = [field.scores(_encoded(some.column(1))) for some in text_slices(batch)]
         score = np.concatenate(scores) if scores else np.zeros(0)
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != 1), pa.array(score, pa.float64())], names=[n for i, n in enumerate(batch.schema.names) if i != 1] + ["score"])
 
@@ -239,7 +245,7 @@ def keep_good(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> Da
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            good = [field.scores([(t or "").encode() for t in batch.column(at).slice(k, 256).to_pylist()]) >= threshold for k in range(0, batch.num_rows, 256)]
+            good = [field.scores(_encoded(some.column(at))) >= threshold for some in text_slices(batch, at)]
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 

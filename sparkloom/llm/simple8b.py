@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shuffle_partitions
+from .common import scratch_path, shuffle_partitions, text_slices
 from .tokens import encoder
 
 #: Ids a word holds and their width, by selector; 0 is the escape.
@@ -38,6 +38,8 @@ WIDTHS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np
 ESCAPE = 0
 #: Ids of a block.
 BLOCK = 1024
+#: Chunks a worker remembers: this tokenizer tells case and spaces apart, so there are more of them.
+CACHE_CHUNKS = 2_000_000
 #: A record ends with the document that reaches so many ids.
 RECORD_IDS = 1 << 19
 _BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
@@ -179,7 +181,7 @@ _FILE = "part_id int, part_start long, n_docs int, n_ids long, payload binary"
 
 def _to_records(batches: Iterator[pa.RecordBatch], path: str, end_id: int, record_ids: int) -> Iterator[pa.RecordBatch]:
     part, start = TaskContext.get().partitionId(), 0
-    enc = encoder(path)
+    enc = encoder(path, cache_chunks=CACHE_CHUNKS)
     tail = np.array([end_id], "<u4").tobytes()
     doc_ids: list[int | None] = []
     pieces: list[bytes] = []
@@ -199,8 +201,7 @@ def _to_records(batches: Iterator[pa.RecordBatch], path: str, end_id: int, recor
         return out
 
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            rows = batch.slice(k, 256)
+        for rows in text_slices(batch):
             texts = [t or "" for t in rows.column(1).to_pylist()]
             for doc_id, ids in zip(rows.column(0).to_pylist(), enc.encode(texts), strict=True):
                 doc_ids.append(doc_id)

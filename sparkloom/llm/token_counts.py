@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
 from .tokens import ChunkEncoder
 
 
@@ -119,8 +120,7 @@ _OUT = "doc_id long, section int, start long, end long, n_tokens long, n_crossin
 def _rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = span_encoder(path)
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            rows = batch.slice(k, 256)
+        for rows in text_slices(batch):
             texts = [t or "" for t in rows.column(1).to_pylist()]
             cols: list[list[np.ndarray]] = [[] for _ in range(5)]
             totals, lines = [], []

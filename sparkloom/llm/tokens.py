@@ -18,7 +18,7 @@ import numpy as np
 #: Texts handed to the encoder at once.
 TEXTS_AT_ONCE = 256
 #: Chunks a Python worker remembers; beyond it the older half is forgotten.
-CACHE_CHUNKS = 2_000_000
+CACHE_CHUNKS = 1_000_000
 #: Chunks encoded by one call of the library.
 CHUNKS_PER_CALL = 512
 #: A control character put between chunks where white space leaves no trace in the ids.
@@ -142,9 +142,9 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=8)
-def encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
+def encoder(path: str, dtype: str = "<u4", cache_chunks: int = CACHE_CHUNKS) -> ChunkEncoder:
     """One encoder for each Python worker, kept between tasks."""
-    return ChunkEncoder(path, dtype)
+    return ChunkEncoder(path, dtype, cache_chunks)
 
 
 def vocabulary_path(name: str) -> str:
