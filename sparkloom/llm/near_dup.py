@@ -34,6 +34,8 @@ ERRORS = 21
 CHUNKS = (5, 5, 5, 5, 4, 4, 4, 4, 4, 4, 4)
 #: Rows of a key that one task compares with as many others.
 KEY_ROWS = 1024
+#: Groups of a key up to which rows are compared side by side with those of other keys.
+SMALL_GROUP = 64
 #: Documents of a block whose sets are compared with another block's.
 BLOCK_DOCS = 512
 #: Cells of an incidence matrix at once.
@@ -134,42 +136,70 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield now, pa.Table.from_batches(held)
 
 
-def _bytes_matrix(column: pa.ChunkedArray, dtype: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+def _pairs_of_blocks(block: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct (lower, higher) blocks of pairs of rows."""
+    both = np.stack([np.minimum(block[a], block[b]), np.maximum(block[a], block[b])], axis=1)
+    return np.unique(both, axis=0) if len(both) else both
+
+
+def near_in_large_group(side: np.ndarray, block: np.ndarray, sig: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Blocks of pairs between side ``i`` and side ``j`` whose signatures are within the threshold."""
+    left = np.flatnonzero(side == i)
+    right = left if i == j else np.flatnonzero(side == j)
+    found = [np.zeros((0, 2), np.int64)]
+    for k in range(0, len(left), 256):
+        some = left[k : k + 256]
+        same = np.zeros((len(some), len(right)), np.uint8)
+        for s in range(SLOTS):
+            same += sig[some, s][:, None] == sig[right, s][None, :]
+        a, b = np.nonzero(same >= SLOTS - ERRORS)
+        a, b = some[a], right[b]
+        found.append(_pairs_of_blocks(block, a[a != b], b[a != b]))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def near_in_small_groups(first: np.ndarray, size: np.ndarray, block: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """The same for many small groups of consecutive rows: each row against the next, the one after, and so on."""
+    found = [np.zeros((0, 2), np.int64)]
+    for step in range(1, int(size.max(initial=0))):
+        more = size > step
+        n = size[more] - step
+        a = np.repeat(first[more] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        for k in range(0, len(a), 1 << 15):
+            x = a[k : k + (1 << 15)]
+            near = x[(sig[x] == sig[x + step]).sum(axis=1, dtype=np.uint8) >= SLOTS - ERRORS]
+            found.append(_pairs_of_blocks(block, near, near + step))
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names of block pairs with a pair of signatures within the threshold, for each key (part)."""
-    agree = SLOTS - ERRORS
-    out_a: list[np.ndarray] = []
-    out_b: list[np.ndarray] = []
-    for (_, i, j), rows in _groups(batches, 3):
-        side = rows.column("side").to_numpy()
-        sig = _bytes_matrix(rows.column("sig"), "<u2", SLOTS)
-        block = rows.column("block").to_numpy()
-        left = np.flatnonzero(side == i)
-        right = left if i == j else np.flatnonzero(side == j)
-        found = []
-        for k in range(0, len(left), 256):
-            some = left[k : k + 256]
-            same = np.zeros((len(some), len(right)), np.uint8)
-            for s in range(SLOTS):
-                same += sig[some, s][:, None] == sig[right, s][None, :]
-            a, b = np.nonzero(same >= agree)
-            a, b = some[a], right[b]
-            a, b = a[a != b], b[a != b]
-            pairs = np.stack([np.minimum(block[a], block[b]), np.maximum(block[a], block[b])], axis=1)
-            if len(pairs):
-                found.append(np.unique(pairs, axis=0))
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            out_a.append(pairs[:, 0])
-            out_b.append(pairs[:, 1])
-        if len(out_a) > 2000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-            out_a, out_b = [], []
-    if out_a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+    """Names of block pairs with a pair of signatures within the threshold, for rows sorted by (key, i, j)."""
+    held: list[np.ndarray] | None = None
+
+    def found(rows: list[np.ndarray], starts: np.ndarray, end: int) -> pa.RecordBatch:
+        _, i, j, side, block, sig = rows
+        size = np.diff(np.append(starts, end))
+        small = size <= SMALL_GROUP
+        pairs = [near_in_small_groups(starts[small], size[small], block, sig)]
+        for a, n in zip(starts[~small].tolist(), size[~small].tolist(), strict=True):
+            pairs.append(near_in_large_group(side[a : a + n], block[a : a + n], sig[a : a + n], int(i[a]), int(j[a])))
+        out = np.unique(np.concatenate(pairs), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+        rows.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u2").reshape(-1, SLOTS))
+        if held is not None:
+            rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
+        key, i, j = rows[:3]
+        starts = np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1)
+        if len(starts) > 1:  # the last group may go on in the next batch
+            yield found(rows, starts[:-1], int(starts[-1]))
+        held = [x[starts[-1] :] for x in rows]
+    if held is not None:
+        yield found(held, np.zeros(1, np.int64), len(held[0]))
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
