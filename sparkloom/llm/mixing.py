@@ -74,7 +74,7 @@ def slots(spark, limits: list[int], block: int = BLOCK) -> DataFrame:
     if not total:
         return spark.createDataFrame([], schema)
     needs = np.array([-(-x // block) for x in limits], np.int64)
-    n = int(needs.sum())
+    n, starts = int(needs.sum()), np.cumsum(needs) - needs
     bounds, step = _bounds(limits), SLOTS_AT_ONCE
     chunks = -(-n // step)
 
@@ -113,7 +113,7 @@ def slots(spark, limits: list[int], block: int = BLOCK) -> DataFrame:
 
     placed = by_chunk.mapInPandas(rank, schema)
     given = counts.groupBy("queue").agg(F.sum("n").alias("given"))
-    needed = spark.createDataFrame([(i, int(k), int(needs[:i].sum())) for i, k in enumerate(needs.tolist()) if k], "queue int, need long, at long")
+    needed = spark.createDataFrame([(i, int(k), int(starts[i])) for i, k in enumerate(needs.tolist()) if k], "queue int, need long, at long")
     rest = (
         needed.join(given, "queue", "left")
         .withColumn("given", F.coalesce("given", F.lit(0)))
@@ -208,7 +208,7 @@ def mixed_documents(docs: DataFrame, **plan) -> DataFrame:
     """The mix as rows of ``docs`` with its columns: each taken stretch of a document, repeats as rows.
 
     A stretch that is the whole document keeps its text; the last document of a source is cut to the
-    words taken from it.  ``n_chars``, if there, is counted again.  Documents not taken go.
+    words taken from it, a space between them; order among rows is free (``pieces`` has each slot).  ``n_chars``, if there, is counted again.  Documents not taken go.
     """
     columns = docs.columns
     mix = plan_mix(docs, **plan)
