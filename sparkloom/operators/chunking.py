@@ -88,7 +88,7 @@ def concat_and_pad(tensors: DataFrame, total: int) -> DataFrame:
 
     sizes = tensors.groupBy("tensor_id").agg(F.count("*").alias("n"))
     start = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("tensor_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    placed = tensors.join(F.broadcast(start), "tensor_id").select((F.col("start") + F.col("pos")).alias("idx"), "value")
+    placed = tensors.join(start, "tensor_id").select((F.col("start") + F.col("pos")).alias("idx"), "value")
     checked = placed.withColumn("value", F.when(F.col("idx") >= total, F.raise_error(F.lit("tensors are longer than the padded size")).cast("float")).otherwise(F.col("value")))
     return tensors.sparkSession.range(total).withColumnRenamed("id", "idx").join(checked, "idx", "full").select("idx", F.coalesce("value", F.lit(0).cast("float")).alias("value"))
 

@@ -124,3 +124,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.string(), pa.int64(), pa.int64()] + [pa.float64()] * 7
     return pa.RecordBatch.from_arrays([pa.array([None if i == "" else v for v in c], t) for i, (c, t) in enumerate(zip(zip(*rows, strict=True), types, strict=True))], names=_COLUMNS)
+
+
+def _array_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        values = b.column(2)
+        flat, at = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
+        rows = [(int(e - a), *chunk_stats(flat[a:e].astype(np.float32))) for a, e in zip(at[:-1], at[1:], strict=True)]
+        types = [pa.int64()] + [pa.float64()] * 7
+        columns = list(zip(*rows, strict=True)) or [()] * 8
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["field_id", "chunk_id", "values", *_COLUMNS[2:]])
+
+
+def array_features(arrays: DataFrame) -> DataFrame:
+    """Chunks ``field_id, chunk_id, values`` with their statistics: no shuffle beyond the one that made the arrays."""
+    return arrays.select(*KEYS, "values").mapInArrow(_array_rows, "field_id string, chunk_id long, values array<float>, n long, sum double, min double, max double, range double, mad double, deriv double, entropy double")

@@ -54,9 +54,8 @@ def _algorithm(algo_idx: Column) -> Column:
 
 def chunk_table(field: DataFrame, chunk: int) -> DataFrame:
     """``field_id, chunk_id, values, n_bytes`` and statistics: one row a chunk."""
-    cut = chunking.chunk_1d(field, chunk)
-    s = stats.features(cut).withColumn("n_bytes", F.col("n") * 4)
-    return codec.chunk_arrays(cut).join(s, CHUNK_KEYS)
+    arrays = codec.chunk_arrays(chunking.chunk_1d(field, chunk))
+    return stats.array_features(arrays).withColumn("n_bytes", F.col("n") * 4)
 
 
 def candidates(table: DataFrame, options: Options, weights: Weights) -> DataFrame:

@@ -54,6 +54,8 @@ def test_statistics_three_ways(spark, n):
     assert math.isclose(f["mad"], stats.mean_abs_deviation(c).first()["mad"], abs_tol=1e-9)
     assert math.isclose(f["deriv"], stats.second_difference(c).first()["deriv"], abs_tol=1e-9)
     assert math.isclose(f["sum"], stats.basic(c).first()["sum"], abs_tol=1e-6)
+    a = stats.array_features(codec.chunk_arrays(c)).drop("values").first()
+    assert tuple(a) == tuple(f)
 
 
 def test_second_difference_of_a_ramp_is_zero(spark):
