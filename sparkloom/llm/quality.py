@@ -23,7 +23,7 @@ from .shingles import lowered, words_in
 #: Labelled documents that the field is fitted on at most (those with the least hash of their id).
 FIT_DOCS = 3000
 #: Labelled documents with more lines are not drawn for fitting; all documents are scored whole.
-FIT_LINES = 300
+FIT_LINES = 100
 THRESHOLD = 0.3
 
 _LETTER, _DIGIT, _SPACE, _STOP, _BAR, _MARK, _SHOUT, _OTHER = range(8)
