@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 ROLES = ("system", "user", "assistant")
 #: State 2r: role r begins a turn on this line; state 2r + 1: it goes on.
@@ -204,10 +204,12 @@ _TURN = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("piece", pa.
 _TURNS = "conv_id long, block long, piece int, first_part long, last_part long, begins boolean, role string, text string"
 
 
+@tidy
 def _summaries(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     yield from _some(((b[0][0], b[0][1], transfer(model, _lines(b)[2], b[0][5]).ravel().tolist()) for b in _groups(batches, 2)), _MATRIX)
 
 
+@tidy
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         for conv in _groups(batches, 1):
@@ -228,6 +230,7 @@ def _turns(block: list[tuple], model: Model) -> Iterator[tuple]:
         yield None if no_id else conv, number, k, part[a], part[b - 1], begins, role, (f"<|{role}|>\n" if begins else "") + body + "\n<|end|>"
 
 
+@tidy
 def _decoded(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     yield from _some((turn for block in _groups(batches, 2) for turn in _turns(block, model)), _TURN)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch in jobs that this subpackage runs itself over texts or sets.
+BATCH_ROWS = 2000
+
+
+def _give_back() -> None:
+    """Free memory that Arrow and the allocator keep; workers live on and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function over Arrow batches that gives free memory back after each batch."""
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            _give_back()
+
+    @wraps(f)
+    def inner(batches: Iterator[pa.RecordBatch], *args, **options) -> Iterator[pa.RecordBatch]:
+        yield from f(taken(batches), *args, **options)
+        _give_back()
+
+    return inner
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for jobs run inside; the session's setting stands again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS if int(was) <= 0 else min(int(was), BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def text_slices(batch: pa.RecordBatch, column: int = 1, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold few rows and little text, so that work arrays stay small."""
     n = batch.num_rows

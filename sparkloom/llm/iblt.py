@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_slices
+from .common import shuffle_partitions, text_slices, tidy
 from .shingles import mix64, words_in
 
 #: Cells of a fingerprint.
@@ -173,6 +173,7 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
+@tidy
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in text_slices(batch):

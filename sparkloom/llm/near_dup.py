@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, small_batches, text_slices, tidy
 from .shingles import mix64, shingle_sets
 
 SLOTS = 48
@@ -80,6 +80,7 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in text_slices(batch):
@@ -96,6 +97,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             )
 
 
+@tidy
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
@@ -105,6 +107,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(rows.column(0).to_numpy(), len(KEYS)))], names=["key", "id"])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in text_slices(batch):
@@ -172,6 +175,7 @@ def near_in_small_groups(first: np.ndarray, size: np.ndarray, block: np.ndarray,
     return np.unique(np.concatenate(found), axis=0)
 
 
+@tidy
 def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names of block pairs with a pair of signatures within the threshold, for rows sorted by (key, i, j)."""
     held: list[np.ndarray] | None = None
@@ -227,6 +231,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
+@tidy
 def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """A spanning forest of each block pair's links, confirmed on full sets."""
     us: list[int] = []
@@ -293,6 +298,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     if percent < 80:
         raise ValueError("signatures guarantee similarities of 0.8 or more")
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, k, percent)
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
     signed = materialize(texts.mapInArrow(partial(_sign, k=k), "doc_id long, text_key long, n_shingles long, digest binary, sig binary"), "signatures")
     nodes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, tidy
 
 #: Samples of a packet; payloads are padded to a positive multiple.
 PACKET = 576
@@ -184,6 +184,7 @@ def features(payload: bytes, times: list[float]) -> str:
     return f"packets={len(times)};seconds={times[-1]:.4f};mean={mean:.4f};rms={rms:.4f};crossings={cross}"
 
 
+@tidy
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in text_slices(batch):
@@ -192,6 +193,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(media, pa.large_binary()).cast(pa.binary())], names=["doc_id", "media"])
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, small_batches, text_slices, tidy
 from .tokens import encoder
 
 #: Tokens of a sequence.
@@ -38,6 +38,7 @@ _IDS = "part_id int, source string, doc_id long, n long, in_part long, ids binar
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+@tidy
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, dtype: str) -> Iterator[pa.RecordBatch]:
     part, enc = TaskContext.get().partitionId(), encoder(path, dtype)
     tail, size = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
@@ -84,6 +85,7 @@ class Rounds:
             at = stop
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch], names: list[str | None], totals: list[int], dtype: str, sequence: int, window: int) -> Iterator[pa.RecordBatch]:
     rounds, queue_of = Rounds(totals, window), {s: i for i, s in enumerate(names)}
     types = [pa.int64()] * 7
@@ -111,7 +113,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, sequence: int = SEQU
     code-point order, a queue's documents as they are read.  Every id lies in one piece; offsets in a
     sequence have no gaps; all sequences but the last are full.  Repeated rows are packed each.
     """
-    ids = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")).mapInArrow(partial(_encode, path=vocabulary, end_id=end_id, dtype=dtype), _IDS), "packing-ids")
+    with small_batches(docs.sparkSession):
+        ids = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")).mapInArrow(partial(_encode, path=vocabulary, end_id=end_id, dtype=dtype), _IDS), "packing-ids")
     parts = ids.groupBy("source", "part_id").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("source").orderBy("part_id").rowsBetween(Window.unboundedPreceding, -1)
     base = materialize(parts.select("source", "part_id", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "packing-base")

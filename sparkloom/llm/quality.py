@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import small_batches, text_slices, tidy
 from .shingles import lowered, words_in
 
 #: Labelled documents that the field is fitted on at most (those with the least hash of their id).
@@ -197,6 +197,7 @@ def _encoded(texts: pa.Array) -> list[bytes]:
     return [(t or "").encode() for t in texts.to_pylist()]
 
 
+@tidy
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some in text_slices(batch):
@@ -219,13 +220,15 @@ def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> F
     known = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)) < FIT_LINES)
-    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(_sample, "doc_id long, quality int, features binary, length binary").collect()
+    with small_batches(docs.sparkSession):
+        rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(_sample, "doc_id long, quality int, features binary, length binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["features"]))
     features = np.concatenate([np.frombuffer(r["features"], "<f8") for r in rows] or [np.zeros(0)]).reshape(-1, WIDTH)
     length = [np.frombuffer(r["length"], "<i8") for r in rows]
     return fit(features, np.concatenate(length or [np.zeros(0, np.int64)]), np.array([len(x) for x in length], np.int64), np.array([r["quality"] for r in rows], np.float64))
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores = [field.scores(_encoded(some.column(1))) for some in text_slices(batch)]
@@ -242,6 +245,7 @@ def keep_good(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> Da
     """The rows of ``docs``, with its columns, whose text scores ``threshold`` or more."""
     schema = docs.schema
 
+    @tidy
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shuffle_partitions, text_slices
+from .common import scratch_path, shuffle_partitions, small_batches, text_slices, tidy
 from .tokens import encoder
 
 #: Ids a word holds and their width, by selector; 0 is the escape.
@@ -179,6 +179,7 @@ def read_record(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 _FILE = "part_id int, part_start long, n_docs int, n_ids long, payload binary"
 
 
+@tidy
 def _to_records(batches: Iterator[pa.RecordBatch], path: str, end_id: int, record_ids: int) -> Iterator[pa.RecordBatch]:
     part, start = TaskContext.get().partitionId(), 0
     enc = encoder(path, cache_chunks=CACHE_CHUNKS)
@@ -227,10 +228,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, path: s
         .repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
-    ordered.mapInArrow(partial(_to_records, path=vocabulary, end_id=end_id, record_ids=record_ids), _FILE).write.option("compression", "none").parquet(path)
+    with small_batches(spark):
+        ordered.mapInArrow(partial(_to_records, path=vocabulary, end_id=end_id, record_ids=record_ids), _FILE).write.option("compression", "none").parquet(path)
     return path
 
 
+@tidy
 def _from_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, begin, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
