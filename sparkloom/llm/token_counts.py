@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, tidy
 from .tokens import ChunkEncoder
 
 
@@ -114,9 +114,17 @@ def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ends - lengths, ends
 
 
+def _sorted(spans: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    at = np.array(sorted((x["start"], x["end"]) for x in spans or []), np.int64).reshape(-1, 2)
+    if (at[1:, 0] < at[:-1, 1]).any() or (at[:, 0] >= at[:, 1]).any():
+        raise ValueError("sections are empty or overlap")
+    return at[:, 0], at[:, 1]
+
+
 _OUT = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
 
 
+@tidy
 def _rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = span_encoder(path)
     for batch in batches:
@@ -124,12 +132,13 @@ def _rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBat
             texts = [t or "" for t in rows.column(1).to_pylist()]
             cols: list[list[np.ndarray]] = [[] for _ in range(5)]
             totals, lines = [], []
-            for text, spans in zip(texts, enc.encode(texts), strict=True):
-                starts, ends = line_sections(text)
+            given = rows.column(2).to_pylist() if rows.num_columns > 2 else [None] * len(texts)
+            for text, spans, own_spans in zip(texts, enc.encode(texts), given, strict=True):
+                starts, ends = line_sections(text) if rows.num_columns == 2 else _sorted(own_spans)
                 spans = np.asarray(spans).reshape(-1, 2)
                 own, crossing = attribute(spans, starts, ends)
                 n = len(starts)
-                for c, v in zip(cols, (np.arange(n), starts, ends, np.bincount(own, minlength=n), np.bincount(own[crossing], minlength=n)), strict=True):
+                for c, v in zip(cols, (np.arange(n), starts, ends, np.bincount(own[own >= 0], minlength=n), np.bincount(own[crossing & (own >= 0)], minlength=n)), strict=True):
                     c.append(v)
                 totals.append(len(spans))
                 lines.append(n)
@@ -141,10 +150,15 @@ def _rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBat
             )
 
 
-def section_token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Tokens of every line of every whole text (null: empty, one empty line); one row a line.
+def section_token_counts(docs: DataFrame, vocabulary: str, spans: str | None = None) -> DataFrame:
+    """Tokens of every section of every whole text (null: empty); one row a section.
 
-    ``n_crossing`` of the counted tokens also touch another line; ``doc_tokens`` is the text's total, which
-    its lines' ``n_tokens`` add up to.
+    Sections are the text's lines (an empty text is one empty line), or those in the column ``spans``, an array
+    of structs ``start, end`` of characters (null: none), which may leave gaps but not overlap. ``n_crossing`` of
+    the counted tokens also touch what is outside; ``doc_tokens`` is the text's total, which the ``n_tokens`` of
+    lines add up to.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_rows, path=vocabulary), _OUT)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
+    if spans is not None:
+        columns.append(F.transform(spans, lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"))).alias("spans"))
+    return docs.select(*columns).mapInArrow(partial(_rows, path=vocabulary), _OUT)

@@ -147,6 +147,20 @@ def test_section_counts(docs, no_docs):
     assert token_counts.section_token_counts(no_docs, vocabulary_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_given_sections(spark):
+    text = "title here\nbody of the text goes on"
+    rows = [(1, text, [(11, 19), (0, 10)]), (2, text, None), (3, None, []), (4, "abc", [(0, 2), (2, 3)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<start: int, end: int>>")
+    got = sorted((r["doc_id"], r["section"], r["start"], r["end"], r["n_tokens"], r["n_crossing"]) for r in token_counts.section_token_counts(df, vocabulary_path("byte_bpe_50k.json"), "parts").collect())
+    enc = _shared("byte_bpe_50k.json").tokenizer
+    inside = sum(b <= 10 for _, b in enc.encode(text).offsets)
+    assert got[0] == (1, 0, 0, 10, inside, 0) and got[1][:4] == (1, 1, 11, 19)
+    assert [g[:4] for g in got[2:]] == [(4, 0, 0, 2), (4, 1, 2, 3)] and sum(g[4] for g in got[2:]) == len(enc.encode("abc").ids)
+    bad = spark.createDataFrame([(1, text, [(0, 5), (4, 6)])], df.schema)
+    with pytest.raises(Exception, match="overlap"):
+        token_counts.section_token_counts(bad, vocabulary_path("byte_bpe_50k.json"), "parts").collect()
+
+
 def test_spans_like_whole_texts():
     enc = token_counts.SpanEncoder(vocabulary_path("byte_bpe_50k.json"), cache_chunks=8)
     texts = [t or "" for _, t, *_ in ROWS] + ODD
