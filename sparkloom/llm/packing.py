@@ -29,6 +29,8 @@ from .tokens import encoder
 SEQUENCE = 2048
 #: Tokens of a round over all queues.
 WINDOW = 64 * SEQUENCE
+#: Chunks a worker remembers.
+CACHE_CHUNKS = 1_500_000
 #: Queues (sources) at most: their totals, one number each, go to every task.
 MAX_SOURCES = 100_000
 #: Rows of the table of queue positions by part up to which it is broadcast; beyond, it is joined by shuffle.
@@ -40,7 +42,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 @tidy
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, dtype: str) -> Iterator[pa.RecordBatch]:
-    part, enc = TaskContext.get().partitionId(), encoder(path, dtype)
+    part, enc = TaskContext.get().partitionId(), encoder(path, dtype, CACHE_CHUNKS)
     tail, size = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
     sent: dict[str | None, int] = {}
     for batch in batches:
