@@ -89,11 +89,16 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
         at = at + COUNTS[s]
         on = at < size[lane]
         lane, at = lane[on], at[on]
-    lane, at, sel = np.concatenate(hit_lane), np.concatenate(hit_at), np.concatenate(hit_sel)
-    order = np.argsort(lane, kind="stable")
-    lane, at, sel = lane[order], at[order], sel[order]
+    # a lane's k-th word was found in step k: words go to their places without a sort
+    step = np.repeat(np.arange(len(hit_lane)), list(map(len, hit_lane)))
+    found = np.concatenate(hit_lane)
+    n_words = np.bincount(found, minlength=lanes)
+    offsets = np.cumsum(n_words) - n_words
+    to = offsets[found] + step
+    place, sel = np.empty(len(to), np.int64), np.empty(len(to), best.dtype)
+    place[to], sel[to] = found * stride + np.concatenate(hit_at), np.concatenate(hit_sel)
     words = sel.astype(np.uint64) << _SHIFT
-    flat, place = values.ravel(), lane * stride + at
+    flat = values.ravel()
     for s in range(1, len(COUNTS)):
         own = np.flatnonzero(sel == s)
         if len(own):
@@ -105,8 +110,7 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     own = np.flatnonzero(sel == ESCAPE)
     escapes = flat[place[own]].astype(np.uint64)
     words[own] |= np.arange(len(own), dtype=np.uint64)
-    offsets = np.searchsorted(lane, np.arange(lanes)).astype("<u4")
-    return words.astype("<u8"), offsets, escapes.astype("<u8")
+    return words.astype("<u8"), offsets.astype("<u4"), escapes.astype("<u8")
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int, escapes: np.ndarray, block: int = BLOCK) -> np.ndarray:
@@ -128,13 +132,15 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, escapes: np.ndarray,
             continue
         b, to, limit, width = body[own], start[own], end[own], int(WIDTHS[s])
         mask = np.uint64((1 << width) - 1)
+        cut = np.flatnonzero(to + int(COUNTS[s]) > limit)  # the last words of blocks may hold fewer
+        if len(cut):
+            for j in range(int(COUNTS[s])):
+                inside = cut[to[cut] + j < limit[cut]]
+                out[to[inside] + j] = (b[inside] >> np.uint64(j * width)) & mask
+            full = to + int(COUNTS[s]) <= limit
+            b, to = b[full], to[full]
         for j in range(int(COUNTS[s])):
-            got = (b >> np.uint64(j * width)) & mask
-            if j:
-                inside = to + j < limit
-                out[to[inside] + j] = got[inside]
-            else:
-                out[to] = got
+            out[to + j] = (b >> np.uint64(j * width)) & mask
     own = np.flatnonzero(sel == ESCAPE)
     out[start[own]] = escapes[body[own].astype(np.int64)]
     return out
