@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shuffle_partitions, small_batches, text_slices, tidy
+from .common import scratch_path, shuffle_partitions, text_slices, tidy
 from .tokens import encoder
 
 #: Ids a word holds and their width, by selector; 0 is the escape.
@@ -39,7 +39,7 @@ ESCAPE = 0
 #: Ids of a block.
 BLOCK = 1024
 #: Chunks a worker remembers: this tokenizer tells case and spaces apart, so there are more of them.
-CACHE_CHUNKS = 2_000_000
+CACHE_CHUNKS = 2_500_000
 #: A record ends with the document that reaches so many ids.
 RECORD_IDS = 1 << 19
 _BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
@@ -185,7 +185,6 @@ def read_record(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 _FILE = "part_id int, part_start long, n_docs int, n_ids long, payload binary"
 
 
-@tidy
 def _to_records(batches: Iterator[pa.RecordBatch], path: str, end_id: int, record_ids: int) -> Iterator[pa.RecordBatch]:
     part, start = TaskContext.get().partitionId(), 0
     enc = encoder(path, cache_chunks=CACHE_CHUNKS)
@@ -234,8 +233,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, path: s
         .repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
-    with small_batches(spark):
-        ordered.mapInArrow(partial(_to_records, path=vocabulary, end_id=end_id, record_ids=record_ids), _FILE).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(partial(_to_records, path=vocabulary, end_id=end_id, record_ids=record_ids), _FILE).write.option("compression", "none").parquet(path)
     return path
 
 
