@@ -519,12 +519,15 @@ def union_alias_normalise(spark, d):
 
 # -- N-D arrays -------------------------------------------------------------------------------
 
-_GRID_DIMS, _GRID_CHUNK = (500, 64), (48, 20)
+_GRID_CHUNK = (48, 20)
 
 
-def _grid(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings").where(F.col("vec_id") < _GRID_DIMS[0])
-    return e.select("vec_id", F.posexplode(F.slice("embedding", 1, _GRID_DIMS[1])).alias("j", "value")).select(F.lit("embeddings").alias("field_id"), (F.col("vec_id") * _GRID_DIMS[1] + F.col("j")).alias("idx"), "value")
+def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[int, int]]:
+    """All of ``embeddings`` as a field, and its dimensions: ids by the longest vector."""
+    e = read(spark, d, "embeddings")
+    top = e.agg(F.coalesce(F.max("vec_id") + 1, F.lit(1)).alias("rows"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("columns")).first()
+    dims = (max(1, top["rows"]), max(1, top["columns"]))
+    return e.select("vec_id", F.posexplode("embedding").alias("j", "value")).select(F.lit("embeddings").alias("field_id"), (F.col("vec_id") * dims[1] + F.col("j")).alias("idx"), "value"), dims
 
 
 _GATHER = """with g as (select vec_id as i, j, embedding[j + 1] as value from embeddings, range(64) t(j) where vec_id < 500),
@@ -533,13 +536,15 @@ c as (select *, i // 48 * 4 + j // 20 as chunk_id, (i % 48) * least(20, 64 - j /
 
 @query(_GATHER + " select chunk_id, pos, i * 64 + j as idx, value::double as value from c")
 def nd_gather(spark, d):
-    return chunking.gather(_grid(spark, d), _GRID_DIMS, _GRID_CHUNK).select("chunk_id", "pos", "idx", F.col("value").cast("double").alias("value"))
+    grid, dims = _grid(spark, d)
+    return chunking.gather(grid, dims, _GRID_CHUNK).select("chunk_id", "pos", "idx", F.col("value").cast("double").alias("value"))
 
 
 @query(_GATHER + " select i * 64 + j as idx, chunk_id, true as back from c")
 def nd_scatter(spark, d):
-    g = chunking.gather(_grid(spark, d), _GRID_DIMS, _GRID_CHUNK).withColumnRenamed("idx", "was")
-    return chunking.scatter(g, _GRID_DIMS, _GRID_CHUNK).select("idx", "chunk_id", (F.col("idx") == F.col("was")).alias("back"))
+    grid, dims = _grid(spark, d)
+    g = chunking.gather(grid, dims, _GRID_CHUNK).withColumnRenamed("idx", "was")
+    return chunking.scatter(g, dims, _GRID_CHUNK).select("idx", "chunk_id", (F.col("idx") == F.col("was")).alias("back"))
 
 
 @query()
