@@ -1,8 +1,8 @@
 """URL filter: host words by unigram Viterbi, then multinomial naive Bayes over host and path tokens.
 
 Explicit rules decide first.  Every url is also cut into tokens: host labels without separators are
-split into the words of a unigram model counted over all urls and a seed lexicon; path letters are
-taken as they stand.  Naive Bayes is fitted on all urls with distant labels: a url counts as unwanted
+split into the words of a unigram model; path letters are taken as they stand.  The model counts, over
+all urls, only words that stand apart there, and a seed lexicon: a label is no evidence of itself.  Naive Bayes is fitted on all urls with distant labels: a url counts as unwanted
 if a host token is a seed word.  What goes along with such hosts then weighs in everywhere.
 """
 
@@ -27,9 +27,12 @@ COMMON = tuple(
     "lab learn library live mail map maps media mobile music net news online org page paper photo post press project research school science search shop site sport store "
     "study support team tech the time today travel user video web wiki work world www".split()
 )
+LEXICON = frozenset((*UNWANTED, *COMMON))
 #: Tokens of either model at most: the most frequent ones. Rarer tokens are scored as unknown.
 VOCABULARY = 50_000
 LONGEST = 24
+#: Letters of a word counted from urls at least, and of a lexicon word that is cut off something unknown.
+SHORTEST, SURE = 3, 4
 _A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 Rule = tuple[str, str, str]
@@ -78,6 +81,12 @@ class Unigrams:
             n = back[n]
         return out[::-1]
 
+    def words(self, label: str) -> list[str]:
+        """The split, if all of it is known or a lexicon word of ``SURE`` letters is in it; else the label whole."""
+        parts = self.split(label)
+        found = all(w in self.cost for w in parts) or any(len(w) >= SURE and w in LEXICON for w in parts)
+        return parts if found else [label]
+
 
 _LABEL, _PATH = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W\d_]{2,}")
 
@@ -87,36 +96,50 @@ def host_labels(host: str) -> list[str]:
     return _LABEL.findall(host)
 
 
+def made_up(word: str) -> bool:
+    """Whether two or more lexicon words make up ``word``."""
+    ends = [0]  # where a row of lexicon words may end
+    for k in range(1, len(word) + 1):
+        if any(word[a:k] in LEXICON for a in ends if k - a < len(word)):
+            ends.append(k)
+    return len(word) > 0 and ends[-1] == len(word)
+
+
+def apart(host: str, path: str) -> list[str]:
+    """Words of a url that something separates: parts of a host component with more than one, the last
+    component, and words of the path that are no label of the host."""
+    components = host.split(".")
+    runs = [_LABEL.findall(c) for c in components]
+    found = [w for k, r in enumerate(runs) if len(r) > 1 or 0 < k == len(runs) - 1 for w in r]
+    labels = {w for r in runs for w in r}
+    found += [w for w in map(str.lower, _PATH.findall(path)) if w not in labels]
+    return [w for w in found if SHORTEST <= len(w) <= LONGEST and (w in LEXICON or not made_up(w))]
+
+
 class Tokenizer:
     def __init__(self, unigrams: Unigrams):
         self.unigrams = unigrams
-        self.split = lru_cache(maxsize=100_000)(self.unigrams.split)
+        self.split = lru_cache(maxsize=100_000)(self.unigrams.words)
 
     def tokens(self, host: str, path: str) -> tuple[list[str], list[str]]:
         words = [w for label in host_labels(host) for w in self.split(label)]
         return words, [w.lower() for w in _PATH.findall(path)]
 
 
-def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        found = [w for h in b["host"] for w in host_labels(h)]
+        found = [w for host, path in zip(b["host"], b["path"], strict=True) for w in apart(host, path)]
         if found:
             n = pd.Series(found).value_counts()
             yield pd.DataFrame({"word": n.index, "n": n.to_numpy()})
 
 
 def fit_unigrams(pages: DataFrame, size: int = VOCABULARY) -> Unigrams:
-    """Counts of host labels over all urls, most frequent first, joined with the lexicon.
-
-    A label that two lexicon words make up is left to them.
-    """
-    counts = pages.select("host").mapInPandas(_labels, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    lexicon = {*UNWANTED, *COMMON}
-    made = lambda w: any(w[:k] in lexicon and w[k:] in lexicon for k in range(1, len(w)))
-    model = {r["word"]: r["n"] for r in top if not made(r["word"]) or r["word"] in lexicon}
+    """Counts of words that stand apart over all urls, most frequent first, joined with the lexicon."""
+    counts = pages.select("host", "path").mapInPandas(_apart, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    model = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()}
     floor = max(1, sum(model.values()) // 10_000)
-    for w in lexicon:
+    for w in LEXICON:
         model[w] = model.get(w, 0) + floor
     return Unigrams(model)
 
