@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Host words that mark unwanted sites, and common words of others; both belong to the unigram model.
 UNWANTED = tuple(
     "adult ads adserver affiliate banner bet bets betting bonus buy casino cheap click clicks coupon crack dating deal deals drugs escort free gamble gambling hack "
@@ -28,8 +30,8 @@ COMMON = tuple(
     "study support team tech the time today travel user video web wiki work world www".split()
 )
 LEXICON = frozenset((*UNWANTED, *COMMON))
-#: Tokens of either model at most: the most frequent ones. Rarer tokens are scored as unknown.
-VOCABULARY = 50_000
+#: Words, labels or tokens that each worker holds: the most frequent ones. Rarer ones are joined, with the same results.
+HELD = 50_000
 LONGEST = 24
 #: Letters of a word counted from urls at least, and of a lexicon word that is cut off something unknown.
 SHORTEST, SURE = 3, 4
@@ -60,19 +62,25 @@ def rule_of(rules: tuple[Rule, ...]):
 class Unigrams:
     """Log probabilities of words, and of unknown ones by their length."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values())
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values())
+        self.total = total
         self.cost = {w: math.log(total) - math.log(n) for w, n in counts.items()}
         self.unknown = math.log(total + 1) + 2
 
-    def split(self, label: str) -> list[str]:
+    def costs(self, counts: dict[str, int]) -> dict[str, float]:
+        """Costs of further words of the same total."""
+        return {w: math.log(self.total) - math.log(n) for w, n in counts.items()}
+
+    def split(self, label: str, more: dict[str, float] = {}) -> list[str]:  # noqa: B006
         """The cheapest split of a label into words (Viterbi); of equal ones, that with the longer last word."""
         n = len(label)
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
         for end in range(1, n + 1):
             for start in range(max(0, end - LONGEST), end):
                 word = label[start:end]
-                cost = best[start] + self.cost.get(word, self.unknown + 3 * len(word))
+                cost = self.cost.get(word)
+                cost = best[start] + (more.get(word, self.unknown + 3 * len(word)) if cost is None else cost)
                 if cost < best[end] - 1e-12:
                     best[end], back[end] = cost, start
         out: list[str] = []
@@ -81,10 +89,10 @@ class Unigrams:
             n = back[n]
         return out[::-1]
 
-    def words(self, label: str) -> list[str]:
+    def words(self, label: str, more: dict[str, float] = {}) -> list[str]:  # noqa: B006
         """The split, if all of it is known or a lexicon word of ``SURE`` letters is in it; else the label whole."""
-        parts = self.split(label)
-        found = all(w in self.cost for w in parts) or any(len(w) >= SURE and w in LEXICON for w in parts)
+        parts = self.split(label, more)
+        found = all(w in self.cost or w in more for w in parts) or any(len(w) >= SURE and w in LEXICON for w in parts)
         return parts if found else [label]
 
 
@@ -116,6 +124,26 @@ def apart(host: str, path: str) -> list[str]:
     return [w for w in found if SHORTEST <= len(w) <= LONGEST and (w in LEXICON or not made_up(w))]
 
 
+def made_up(word: str) -> bool:
+    """Whether two or more lexicon words make up ``word``."""
+    ends = [0]  # where a row of lexicon words may end
+    for k in range(1, len(word) + 1):
+        if any(word[a:k] in LEXICON for a in ends if k - a < len(word)):
+            ends.append(k)
+    return len(word) > 0 and ends[-1] == len(word)
+
+
+def apart(host: str, path: str) -> list[str]:
+    """Words of a url that something separates: parts of a host component with more than one, the last
+    component, and words of the path that are no label of the host."""
+    components = host.split(".")
+    runs = [_LABEL.findall(c) for c in components]
+    found = [w for k, r in enumerate(runs) if len(r) > 1 or 0 < k == len(runs) - 1 for w in r]
+    labels = {w for r in runs for w in r}
+    found += [w for w in map(str.lower, _PATH.findall(path)) if w not in labels]
+    return [w for w in found if SHORTEST <= len(w) <= LONGEST and (w in LEXICON or not made_up(w))]
+
+
 class Tokenizer:
     def __init__(self, unigrams: Unigrams):
         self.unigrams = unigrams
@@ -134,75 +162,182 @@ def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"word": n.index, "n": n.to_numpy()})
 
 
-def fit_unigrams(pages: DataFrame, size: int = VOCABULARY) -> Unigrams:
-    """Counts of words that stand apart over all urls, most frequent first, joined with the lexicon."""
+def _top(counts: DataFrame, by: Column, name: str, held: int, tag: str) -> tuple[list[Row], DataFrame, DataFrame | None]:
+    """The ``held`` first rows by ``by``; all rows; the other rows, or None if there are none."""
+    top = counts.orderBy(by.desc(), name).limit(held + 1).collect()
+    if len(top) <= held:
+        return top, counts, None
+    counts = materialize(counts, tag).withColumn("by_", by)
+    n, last = counts.where(F.col(name) == top[held][name]).first()["by_"], top[held][name]
+    return top[:held], counts.drop("by_"), counts.where((F.col("by_") < n) | ((F.col("by_") == n) & (F.col(name) >= last))).drop("by_")
+
+
+def fit_unigrams(pages: DataFrame, held: int = HELD) -> tuple[Unigrams, DataFrame | None]:
+    """Counts of words that stand apart over all urls, joined with the lexicon.
+
+    The model holds the ``held`` most frequent words; the table ``word, n`` has all others (None: there are none).
+    """
     counts = pages.select("host", "path").mapInPandas(_apart, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    model = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()}
-    floor = max(1, sum(model.values()) // 10_000)
+    top, counts, rest = _top(counts, F.col("n"), "word", held, "url-counts")
+    model = {r["word"]: r["n"] for r in top}
+    total = sum(model.values())
+    if rest is not None:
+        total = counts.agg(F.sum("n")).first()[0]
+        model |= {r["word"]: r["n"] for r in counts.where(F.col("word").isin(*LEXICON)).collect()}
+        rest = rest.where(~F.col("word").isin(*LEXICON))
+    floor = max(1, total // 10_000)
     for w in LEXICON:
         model[w] = model.get(w, 0) + floor
-    return Unigrams(model)
+    return Unigrams(model, total + floor * len(LEXICON)), rest
+
+
+def _words(batches: Iterator[pd.DataFrame], unigrams: Unigrams) -> Iterator[pd.DataFrame]:
+    split = lru_cache(maxsize=100_000)(unigrams.words)
+    for b in batches:
+        yield b.assign(words=[" ".join(w for label in host_labels(h) for w in split(label)) for h in b["host"]])
 
 
-def _tokens(batches: Iterator[pd.DataFrame], unigrams: Unigrams) -> Iterator[pd.DataFrame]:
-    cut, bad = Tokenizer(unigrams), set(UNWANTED)
+def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        found = [w for h in b["host"] for w in host_labels(h)]
+        if found:
+            n = pd.Series(found).value_counts()
+            yield pd.DataFrame({"label": n.index, "n": n.to_numpy()})
+
+
+def _pieces(batches: Iterator[pd.DataFrame], unigrams: Unigrams) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for label in b["label"]:
+            words = {label[k : k + n] for n in range(SHORTEST, LONGEST + 1) for k in range(len(label) - n + 1)} - unigrams.cost.keys()
+            if words:
+                yield pd.DataFrame({"label": label, "word": list(words)})
+
+
+def _splits(batches: Iterator[pd.DataFrame], unigrams: Unigrams) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        more = [{} if w is None else unigrams.costs(dict(zip(w, n, strict=True))) for w, n in zip(b["found"], b["counts"], strict=True)]
+        yield pd.DataFrame({"label": b["label"], "n": b["n"], "cut": [" ".join(unigrams.words(x, m)) for x, m in zip(b["label"], more, strict=True)]})
+
+
+def _held_cuts(batches: Iterator[pd.DataFrame], cuts: dict[str, str]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        labels = [host_labels(h) for h in b["host"]]
+        yield b.assign(labels=labels, cuts=[[cuts.get(x) for x in r] for r in labels], open=[sorted({x for x in r if x not in cuts}) for r in labels])
+
+
+def with_words(pages: DataFrame, held: int = HELD) -> DataFrame:
+    """Adds ``words``: those of all host labels.
+
+    Where not all words of the model fit into ``held``, every different label is split once, with the rarer
+    words that occur in it joined to it, and labels beyond the ``held`` most frequent are joined to their urls.
+    """
+    unigrams, rest = fit_unigrams(pages, held)
+    schema = "page_id long, host string, path string"
+    if rest is None:
+        return pages.mapInPandas(partial(_words, unigrams=unigrams), f"{schema}, words string")
+    labels = pages.select("host").mapInPandas(_labels, "label string, n long").groupBy("label").agg(F.sum("n").alias("n"))
+    labels = materialize(labels, "url-labels")
+    found = labels.select("label").mapInPandas(partial(_pieces, unigrams=unigrams), "label string, word string").join(rest, "word").groupBy("label").agg(F.collect_list(F.struct("word", F.col("n").alias("c"))).alias("f"))
+    known = labels.join(found, "label", "left").select("label", "n", F.col("f.word").alias("found"), F.col("f.c").alias("counts"))
+    cuts, _, others = _top(known.mapInPandas(partial(_splits, unigrams=unigrams), "label string, n long, cut string"), F.col("n"), "label", held, "url-splits")
+    rows = pages.withColumn("row_", F.monotonically_increasing_id())
+    rows = rows.mapInPandas(partial(_held_cuts, cuts={r["label"]: r["cut"] for r in cuts}), f"{schema}, row_ long, labels array<string>, cuts array<string>, open array<string>")
+    done = rows.where(F.size("open") == 0).select("page_id", "host", "path", F.array_join("cuts", " ").alias("words"))
+    if others is not None:
+        joined = rows.select("*", F.explode("open").alias("label")).join(others.select("label", "cut"), "label")
+        joined = joined.groupBy("row_").agg(*[F.first(c).alias(c) for c in ("page_id", "host", "path", "labels", "cuts")], F.map_from_entries(F.collect_list(F.struct("label", "cut"))).alias("m"))
+        done = done.unionByName(joined.select("page_id", "host", "path", F.expr("array_join(zip_with(labels, cuts, (l, c) -> coalesce(c, m[l])), ' ')").alias("words")))
+    return materialize(done, "url-words")
+
+
+def tokens(words: str, path: str) -> list[str]:
+    """Host words, and letter runs of the path in small letters."""
+    return [*words.split(), *[w.lower() for w in _PATH.findall(path)]]
+
+
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bad = set(UNWANTED)
     for b in batches:
         rows: dict[tuple[str, bool], int] = {}
-        for host, path in zip(b["host"], b["path"], strict=True):
-            words, rest = cut.tokens(host, path)
-            unwanted = not bad.isdisjoint(words)
-            for w in (*words, *rest):
+        for words, path in zip(b["words"], b["path"], strict=True):
+            unwanted = not bad.isdisjoint(words.split())
+            for w in tokens(words, path):
                 rows[w, unwanted] = rows.get((w, unwanted), 0) + 1
         if rows:
             yield pd.DataFrame([(w, u, n) for (w, u), n in rows.items()], columns=["token", "unwanted", "n"])
 
 
 class NaiveBayes:
-    """Multinomial naive Bayes with add-one smoothing and even priors."""
+    """Multinomial naive Bayes with add-one smoothing and even priors; ``totals`` are of all tokens, held or not."""
 
-    def __init__(self, good: dict[str, int], bad: dict[str, int]):
-        names = {*good, *bad}
-        g, b = sum(good.values()) + len(names) + 1, sum(bad.values()) + len(names) + 1
-        self.odds = {w: math.log((bad.get(w, 0) + 1) / b) - math.log((good.get(w, 0) + 1) / g) for w in names}
+    def __init__(self, good: dict[str, int], bad: dict[str, int], totals: tuple[int, int, int] | None = None):
+        g, b, names = totals or (sum(good.values()), sum(bad.values()), len({*good, *bad}))
+        self.g, self.b = g + names + 1, b + names + 1
+        self.odds = {w: self.of(good.get(w, 0), bad.get(w, 0)) for w in {*good, *bad}}
 
-    def score(self, tokens: list[str]) -> float:
-        """Log odds of unwanted against wanted; unknown tokens say nothing."""
-        return sum(self.odds.get(w, 0.0) for w in tokens)
+    def of(self, good: int, bad: int) -> float:
+        """Log odds of a token of these counts: unwanted against wanted."""
+        return math.log((bad + 1) / self.b) - math.log((good + 1) / self.g)
 
 
-def fit_bayes(pages: DataFrame, unigrams: Unigrams, size: int = VOCABULARY) -> NaiveBayes:
-    """Token counts of all urls by distant label, with each seed word once more on its side."""
-    counts = pages.select("host", "path").mapInPandas(partial(_tokens, unigrams=unigrams), "token string, unwanted boolean, n long")
+def _odds(batches: Iterator[pd.DataFrame], bayes: NaiveBayes) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"token": b["token"], "odds": [bayes.of(g, n) for g, n in zip(b["good"], b["bad"], strict=True)]})
+
+
+def fit_bayes(pages: DataFrame, held: int = HELD) -> tuple[NaiveBayes, DataFrame | None]:
+    """Token counts of all urls by distant label, with each seed word once more on its side.
+
+    The model holds the ``held`` most frequent tokens; the table ``token, odds`` has all others (None: there are none).
+    """
+    seeds = F.explode(F.array(*[F.struct(F.lit(w).alias("token"), F.lit(w in UNWANTED).alias("unwanted"), F.lit(1).cast("long").alias("n")) for k in (COMMON, UNWANTED) for w in k]))
+    counts = pages.select("words", "path").mapInPandas(_tokens, "token string, unwanted boolean, n long").unionByName(pages.sparkSession.range(0, 1, 1, 1).select(seeds.alias("s")).select("s.*"))
     per = counts.groupBy("token").agg(F.sum(F.when(~F.col("unwanted"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("unwanted"), F.col("n")).otherwise(0)).alias("bad"))
-    top = per.orderBy(F.desc(F.col("good") + F.col("bad")), "token").limit(size).collect()
-    good, bad = {r["token"]: r["good"] for r in top}, {r["token"]: r["bad"] for r in top}
-    for w in COMMON:
-        good[w] = good.get(w, 0) + 1
-    for w in UNWANTED:
-        bad[w] = bad.get(w, 0) + 1
-    return NaiveBayes(good, bad)
+    top, per, rest = _top(per, F.col("good") + F.col("bad"), "token", held, "url-tokens")
+    totals = None if rest is None else tuple(per.agg(F.sum("good"), F.sum("bad"), F.count("*")).first())
+    bayes = NaiveBayes({r["token"]: r["good"] for r in top}, {r["token"]: r["bad"] for r in top}, totals)
+    # of the held tokens only the totals go along
+    return bayes, None if rest is None else rest.mapInPandas(partial(_odds, bayes=NaiveBayes({}, {}, totals)), "token string, odds double")
 
 
-def _judge(batches: Iterator[pd.DataFrame], unigrams: Unigrams, bayes: NaiveBayes) -> Iterator[pd.DataFrame]:
-    cut = Tokenizer(unigrams)
+def _held_odds(batches: Iterator[pd.DataFrame], bayes: NaiveBayes) -> Iterator[pd.DataFrame]:
     for b in batches:
-        words, scores = [], []
-        for host, path in zip(b["host"], b["path"], strict=True):
-            w, rest = cut.tokens(host, path)
-            words.append(" ".join(w))
-            scores.append(bayes.score([*w, *rest]))
-        yield b.assign(words=words, score=scores)
+        all_ = [tokens(w, p) for w, p in zip(b["words"], b["path"], strict=True)]
+        yield b.assign(odds=[[bayes.odds[w] for w in r if w in bayes.odds] for r in all_], open=[[w for w in r if w not in bayes.odds] for r in all_])
+
+
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:  # the exact sum, rounded once: the order does not matter
+        yield b.drop(columns="odds").assign(score=[math.fsum(r) for r in b["odds"]])
+
+
+def _scores(batches: Iterator[pd.DataFrame], bayes: NaiveBayes) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(score=[math.fsum(bayes.odds[w] for w in tokens(words, p)) for words, p in zip(b["words"], b["path"], strict=True)])
+
+
+def with_score(pages: DataFrame, held: int = HELD) -> DataFrame:
+    """Adds ``score``: log odds of unwanted against wanted, of every token; the rarer ones are joined to their urls."""
+    bayes, rest = fit_bayes(pages, held)
+    schema = "page_id long, host string, path string, words string"
+    if rest is None:
+        return pages.mapInPandas(partial(_scores, bayes=bayes), f"{schema}, score double")
+    rows = materialize(pages, "url-rows").withColumn("row_", F.monotonically_increasing_id())
+    rows = rows.mapInPandas(partial(_held_odds, bayes=bayes), f"{schema}, row_ long, odds array<double>, open array<string>")
+    names = ["page_id", "host", "path", "words"]
+    joined = rows.select("*", F.explode("open").alias("token")).drop("open").join(rest.withColumnRenamed("odds", "more"), "token")
+    joined = joined.groupBy("row_").agg(*[F.first(c).alias(c) for c in names], F.concat(F.first("odds"), F.collect_list("more")).alias("odds"))
+    return rows.where(F.size("open") == 0).select(*names, "odds").unionByName(joined.select(*names, "odds")).mapInPandas(_sums, f"{schema}, score double")
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, held: int = HELD) -> DataFrame:
     """``page_id, host, path, rule, verdict, words, score`` of every row of ``pages`` (page_id, url).
 
     The verdict is the longest fitting rule's, else block where the log odds are above 0.  A null url,
     or one without ``://``, has empty parts, fits no rule, has no tokens, and is allowed (odds 0).
+    Results do not depend on ``held``.
     """
-    parts = with_parts(pages.select("page_id", "url")).select("page_id", "host", "path")
-    unigrams = fit_unigrams(parts)
-    bayes = fit_bayes(parts, unigrams)
-    scored = parts.mapInPandas(partial(_judge, unigrams=unigrams, bayes=bayes), "page_id long, host string, path string, words string, score double")
+    parts = with_parts(pages.select("page_id", "url")).select(F.col("page_id").cast("long").alias("page_id"), "host", "path")
+    scored = with_score(with_words(parts, held), held)
     rule, verdict = rule_of(rules)
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "words", "score")
