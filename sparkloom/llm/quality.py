@@ -9,6 +9,7 @@ documents then cancel out, and the transitions carry what a bad line says to its
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,7 +23,7 @@ from .shingles import lowered, words_in
 
 #: Labelled documents that the field is fitted on at most (those with the least hash of their id).
 FIT_DOCS = 3000
-#: Labelled documents with more lines are not drawn for fitting; all documents are scored whole.
+#: Lines in a row that fitting takes of a longer labelled document; all documents are scored whole.
 FIT_LINES = 100
 THRESHOLD = 0.3
 
@@ -197,13 +198,19 @@ def _encoded(texts: pa.Array) -> list[bytes]:
     return [(t or "").encode() for t in texts.to_pylist()]
 
 
+def _window(text: bytes, lines: int) -> int:
+    """First of the ``FIT_LINES`` lines taken of a text with more."""
+    return zlib.crc32(text) % (lines - FIT_LINES + 1) if lines > FIT_LINES else 0
+
+
 @tidy
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some in text_slices(batch):
-            features, length, lines = line_features(_encoded(some.column(1)))
-            ends = np.cumsum(lines)
-            rows = list(zip((ends - lines).tolist(), ends.tolist(), strict=True))
+            texts = _encoded(some.column(1))
+            features, length, lines = line_features(texts)
+            begins = np.cumsum(lines) - lines
+            rows = [(a + k, a + k + min(n, FIT_LINES)) for a, n, k in zip(begins.tolist(), lines.tolist(), map(_window, texts, lines.tolist()), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [some.column(0), some.column(2), pa.array([features[a:b].astype("<f8").tobytes() for a, b in rows], pa.binary()), pa.array([length[a:b].astype("<i8").tobytes() for a, b in rows], pa.binary())],
                 names=["doc_id", "quality", "features", "length"],
@@ -215,11 +222,12 @@ def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> F
 
     ``labels`` has ``doc_id, quality`` (0 or 1; other values and nulls are left out, an id's least label counts).
     The held-out fold, ``crc32(doc_id as text) mod 5 = 0``, is never read.  Features are computed where
-    the documents are; the driver gets those of ``fit_docs`` documents of ``FIT_LINES`` lines at most.
+    the documents are; the driver gets those of ``fit_docs`` documents; of one with more than ``FIT_LINES`` lines,
+    those of so many lines in a row, at a place that its text decides.
     """
     known = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)) < FIT_LINES)
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     with small_batches(docs.sparkSession):
         rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(_sample, "doc_id long, quality int, features binary, length binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["features"]))
