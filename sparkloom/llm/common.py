@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import ctypes
+import atexit
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from functools import wraps
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
+from functools import partial, wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Word separators of every word-based contract: space and the control characters 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -21,7 +24,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows, and bytes of text, that numpy code takes at once; a longer text is taken alone.
 SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 
-_scratch: list[str] = []
+#: Scratch tables that exist, and those of the scope that is open.
+_live: dict[str, None] = {}
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +39,8 @@ BATCH_ROWS = 2000
 
 
 def _give_back() -> None:
-    """Free memory that Arrow and the allocator keep; workers live on and share their executor's memory."""
+    """Free memory that Arrow keeps; workers live on and share their executor's memory."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # another C library
 
 
 def tidy(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
@@ -86,10 +87,10 @@ def text_slices(batch: pa.RecordBatch, column: int = 1, rows: int = SLICE_ROWS,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the one in ``spark.checkpoint.dir``.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a single
-    machine) a folder of this process is made and set.
+    Where that is unset, a session on one machine (a local master) gets a folder of this process;
+    any other raises ValueError, for its executors could not read such a folder.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
@@ -97,6 +98,8 @@ def shared_dir(spark: SparkSession) -> str:
     have = spark.sparkContext.getCheckpointDir()
     if have:
         return have
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = "file://" + os.path.join(tempfile.mkdtemp(prefix="sparkloom-"), "shared")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -105,7 +108,10 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder for a table that cuts lineage."""
     path = f"{shared_dir(spark).rstrip('/')}/sparkloom-{tag}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    _live[path] = None
+    made = _scope.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -117,22 +123,76 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_mark() -> int:
-    """A mark for :func:`drop_scratch`."""
-    return len(_scratch)
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """The paths of all scratch tables made inside, for :func:`drop_scratch` when their readers are done."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield made
+    finally:
+        _scope.reset(token)
+        outer = _scope.get()
+        if outer is not None:
+            outer += made
 
 
-def drop_scratch(spark: SparkSession, start: int, end: int) -> None:
-    """Delete the scratch tables made between two marks; their readers must be done."""
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables; unknown or deleted ones are passed over."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for k in range(start, min(end, len(_scratch))):
-        if _scratch[k]:
-            path = jvm.org.apache.hadoop.fs.Path(_scratch[k])
+    for name in paths:
+        if name in _live:
+            path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
-            _scratch[k] = ""
+            del _live[name]
+
+
+def _drop_all() -> None:
+    """At the end of the driver program no result is read any more, so what is left can go."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _live:
+        with suppress(Exception):  # the JVM may be gone
+            drop_scratch(spark, list(_live))
+
+
+atexit.register(_drop_all)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@tidy
+def _sums(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    part, run = TaskContext.get().partitionId(), [0] * len(names)
+    for batch in batches:
+        cols = list(batch.columns)
+        for k, name in enumerate(names):
+            at = batch.schema.get_field_index(name)
+            end = np.cumsum(cols[at].to_numpy(zero_copy_only=False)) + run[k]
+            cols[at] = pa.array(np.concatenate([[run[k]], end[:-1]]) if len(end) else end, pa.int64())
+            run[k] = int(end[-1]) if len(end) else run[k]
+            cols.append(batch.column(at))
+        cols.append(pa.array(np.full(batch.num_rows, part, np.int32)))
+        yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, *[f"{n}_own_" for n in names], "part_"])
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], tag: str, partitions: int = 0) -> DataFrame:
+    """``df`` with, for each name of ``sums``, the sum of that column over all rows before it in ``order``.
+
+    Rows are dealt by ranges of ``order`` and sorted there; sums run within a range, and the ranges' totals
+    (one row each) are summed in order.  So no task holds more than its range, whatever the keys, as long as
+    ``order`` tells rows apart.  ``sums`` are non-null whole numbers, their totals below 2^63.
+    """
+    names, own = list(sums), df.columns
+    rows = df.withColumns({n: c.cast("long") for n, c in sums.items()})
+    rows = rows.repartitionByRange(partitions or shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{n}_own_ long" for n in names] + ["part_ int"])
+    rows = materialize(rows.mapInArrow(partial(_sums, names=names), schema), tag)
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("part_").agg(*[F.sum(f"{n}_own_").alias(f"{n}_all_") for n in names])
+    base = ranges.select("part_", *[F.coalesce(F.sum(f"{n}_all_").over(before), F.lit(0)).alias(f"{n}_base_") for n in names])
+    # a row for each range: small whatever the input
+    return rows.join(F.broadcast(base), "part_").select(*own, *[(F.col(n) + F.col(f"{n}_base_")).alias(n) for n in names])

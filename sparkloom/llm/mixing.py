@@ -6,232 +6,173 @@ the golden-ratio point ``frac(i / phi)`` through the cumulative target weights t
 the slot's rank within its source says which block it takes.  Because such points cover every
 interval evenly, any stretch of the mix holds the sources near their weights.  Slots beyond a
 source's target are void, and the few blocks that the points leave over follow at the end, so
-each source's total is its target exactly (whole words).
+each source's total is its target exactly (whole words).  A document's place in the mix is the
+slot of its first block; the mixed rows are filed by it.
+
+Everything that grows (documents, slots, sources) is a table: running sums over ranges
+(:func:`.common.running`) take the place of windows, so no task holds a source.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, materialize, running, shuffle_partitions
 
 #: Words of a block.
 BLOCK = 256
-#: Slots that one row of the schedule's summary stands for.
-SLOTS_AT_ONCE = 1 << 14
-#: Sources the driver holds at most (their totals only); more raise an error.
-MAX_SOURCES = 100_000
-#: Documents of a source that are ordered in one task, about.
-GROUP = 200
-#: 2^64 divided by the golden ratio.
-GOLDEN = 11400714819323198485
-
-
-def water_fill(sizes: list[int], weights: list[int], share: tuple[int, int] = (3, 2), most: int = 2) -> list[tuple[int, int]]:
-    """Targets as fractions (numerator, denominator): ``share`` of all sizes dealt by weight.
-
-    A target stops at ``most`` times its size; the excess is dealt again by weight to the others
-    until none is above.  Exact integers, so SQL can repeat it.
-    """
-    total = share[0] * sum(sizes)
-    capped: set[int] = set()
-    while True:
-        rest = [i for i in range(len(sizes)) if i not in capped]
-        weight = sum(weights[i] for i in rest)
-        left = total - share[1] * most * sum(sizes[i] for i in capped)
-        over = {i for i in rest if weights[i] * left >= share[1] * most * sizes[i] * weight}
-        if not over:
-            return [(most * sizes[i], 1) if i in capped else (weights[i] * left, share[1] * weight) for i in range(len(sizes))]
-        capped |= over
-
-
-def _points(first: int, n: int) -> np.ndarray:
-    return (np.arange(first, first + n, dtype=np.uint64) + np.uint64(1)) * np.uint64(GOLDEN)
-
-
-def _bounds(limits: list[int]) -> np.ndarray:
-    """Upper ends of the sources' intervals of 64-bit points."""
-    total, run, out = sum(limits), 0, []
-    for x in limits:
-        run += x
-        out.append(min((run << 64) // total, (1 << 64) - 1))
-    return np.array(out, np.uint64)
+#: Points are whole numbers below this; the step is that much divided by the golden ratio.
+CIRCLE = 1 << 62
+GOLDEN = 2850178704830799621
+_WIDE = "decimal(38,0)"
 
 
-def slots(spark, limits: list[int], block: int = BLOCK) -> DataFrame:
-    """``queue, block, slot`` for every block of every source: the schedule.
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
+    """``source, queue, source_size, start, weight, target, give, needs, give_before, needs_before, dense`` of ``source, source_size``.
 
-    ``limits`` are the words each source gives.  Ranks are counted in stretches of slots: counts by
-    stretch and source, their running sums, then ranks within the stretch; no task holds a source.
+    ``share`` of all sizes is dealt by weight (sources by code point, null last, weigh ``weights`` in
+    turn); a target stops at ``most`` times its source's size, and the excess is dealt again by weight
+    to the others until none is above.  Taken by size over weight, a source is capped if its part of
+    what the capped ones before it leave would be too much, so two running sums tell all targets.
+    ``give`` is the target in whole words; ``start`` and the ``_before`` columns are sums over earlier queues;
+    ``dense`` numbers the queues that give anything.
     """
-    schema = "queue int, block long, slot long"
-    total = sum(limits)
+    queues = running(sizes, [F.col("source").asc_nulls_last()], {"queue": F.lit(1), "start": F.col("source_size")}, "mix-queues")
+    turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("queue") % len(weights) + 1).cast("int")).cast("long")
+    queues = queues.withColumn("weight", turn)
+    total, weight = queues.agg(F.sum("source_size"), F.sum("weight")).first()
     if not total:
-        return spark.createDataFrame([], schema)
-    needs = np.array([-(-x // block) for x in limits], np.int64)
-    n, starts = int(needs.sum()), np.cumsum(needs) - needs
-    bounds, step = _bounds(limits), SLOTS_AT_ONCE
-    chunks = -(-n // step)
-
-    def sources(chunk: int) -> np.ndarray:
-        first = chunk * step
-        at = np.searchsorted(bounds, _points(first, min(step, n - first)), side="right")
-        return np.minimum(at, len(bounds) - 1)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for c in b["id"]:
-                queue, slots_of = np.unique(sources(int(c)), return_counts=True)
-                yield pd.DataFrame({"chunk": int(c), "queue": queue.astype("int32"), "n": slots_of.astype("int64")})
-
-    counts = spark.range(0, chunks, 1, max(1, min(chunks, 64))).mapInPandas(count, "chunk long, queue int, n long")
-    before = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    by_chunk = bases.groupBy("chunk").agg(F.collect_list(F.struct("queue", "base")).alias("bases"))
-
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for c, known in zip(b["chunk"], b["bases"], strict=True):
-                queue = sources(int(c))
-                base = np.zeros(len(bounds), np.int64)
-                for x in known:
-                    base[x["queue"]] = x["base"]
-                order = np.argsort(queue, kind="stable")
-                q = queue[order]
-                first = np.searchsorted(q, q)
-                ranks = np.empty(len(q), np.int64)
-                ranks[order] = np.arange(len(q)) - first
-                ranks += base[queue]
-                keep = ranks < needs[queue]
-                at = np.flatnonzero(keep)
-                yield pd.DataFrame({"queue": queue[at].astype("int32"), "block": ranks[at], "slot": int(c) * step + at})
-
-    placed = by_chunk.mapInPandas(rank, schema)
-    given = counts.groupBy("queue").agg(F.sum("n").alias("given"))
-    needed = spark.createDataFrame([(i, int(k), int(starts[i])) for i, k in enumerate(needs.tolist()) if k], "queue int, need long, at long")
+        return queues.select("*", F.lit(0.0).alias("target"), *[F.lit(0).cast("long").alias(c) for c in ("give", "needs", "give_before", "needs_before", "dense")])
+    a, b = share
+    wide = lambda c: c.cast(_WIDE)
+    order = [(F.col("source_size") / F.col("weight")).asc(), F.col("queue").asc()]
+    ranked = running(queues, order, {"size_before": F.col("source_size"), "weight_before": F.col("weight")}, "mix-ranks")
+    left = wide(F.lit(a * total)) - wide(b * most * F.col("size_before"))
+    full = wide(b * most * F.col("source_size"))
+    ranked = ranked.withColumn("capped", wide(F.col("weight")) * left >= full * wide(F.lit(weight) - F.col("weight_before")))
+    capped, open_weight = ranked.agg(F.sum(F.when(F.col("capped"), F.col("source_size")).otherwise(0)), F.sum(F.when(~F.col("capped"), F.col("weight")).otherwise(0))).first()
+    part = wide(F.col("weight")) * wide(F.lit(a * total - b * most * capped))
+    ranked = ranked.withColumn("give", F.when(F.col("capped"), most * F.col("source_size")).otherwise(F.expr(f"cast(weight as {_WIDE}) * cast({a * total - b * most * capped} as {_WIDE}) div cast({max(1, b * open_weight)} as {_WIDE})")))
+    ranked = ranked.withColumn("target", F.when(F.col("capped"), (most * F.col("source_size")).cast("double")).otherwise(part.cast("double") / F.lit(float(max(1, b * open_weight)))))
+    ranked = ranked.withColumn("needs", F.expr(f"(give + {BLOCK - 1}) div {BLOCK}")).drop("size_before", "weight_before", "capped")
+    sums = {"give_before": F.col("give"), "needs_before": F.col("needs"), "dense": (F.col("give") > 0).cast("long")}
+    return running(ranked, [F.col("queue").asc()], sums, "mix-targets")
+
+
+def slots(queues: DataFrame) -> DataFrame:
+    """``queue, block, slot`` for every block of every queue (of :func:`targets`): the schedule.
+
+    Points and the starts of the queues' intervals are sorted together, and the starts before a point
+    say whose it is; sorted by queue and slot, a slot's place among its queue's is its rank.
+    """
+    spark = queues.sparkSession
+    some = queues.where("give > 0")
+    n, total = some.agg(F.coalesce(F.sum("needs"), F.lit(0)), F.coalesce(F.sum("give"), F.lit(0))).first()
+    if not n:
+        return spark.createDataFrame([], "queue long, block long, slot long")
+    dense = some.select("dense", "queue", "needs", "needs_before", F.expr(f"cast(give_before as {_WIDE}) * {CIRCLE} div cast({total} as {_WIDE})").alias("point"))
+    point = F.expr(f"cast(pmod(cast(id + 1 as {_WIDE}) * cast({GOLDEN} as decimal(20,0)), cast({CIRCLE} as {_WIDE})) as bigint)")
+    points = spark.range(n).select(point.alias("point"), F.lit(1).alias("kind"), F.col("id").alias("slot"))
+    both = points.unionByName(dense.select("point", F.lit(0).alias("kind"), F.col("dense").alias("slot")))
+    seen = running(both, [F.col("point").asc(), F.col("kind").asc(), F.col("slot").asc()], {"seen": 1 - F.col("kind")}, "mix-points")
+    dealt = seen.where("kind = 1").select((F.col("seen") - 1).alias("dense"), "slot")
+    ranked = running(dealt, [F.col("dense").asc(), F.col("slot").asc()], {"nth": F.lit(1)}, "mix-slots")
+    per = ranked.groupBy("dense").agg(F.min("nth").alias("first"), F.count("*").alias("given"))
+    placed = ranked.join(per, "dense").join(dense, "dense").withColumn("block", F.col("nth") - F.col("first")).where("block < needs").select("queue", "block", "slot")
     rest = (
-        needed.join(given, "queue", "left")
-        .withColumn("given", F.coalesce("given", F.lit(0)))
-        .where("given < need")
-        .select("queue", "at", F.explode(F.expr("sequence(given, need - 1)")).alias("block"))
-        .select("queue", "block", (F.lit(n) + F.col("at") + F.col("block")).alias("slot"))
-    )
+        dense.join(per, "dense", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < needs")
+        .select("queue", "needs_before", F.explode(F.expr("sequence(given, needs - 1)")).alias("block"))
+        .select("queue", "block", (F.lit(n) + F.col("needs_before") + F.col("block")).alias("slot"))
+    )
     return placed.unionByName(rest)
 
 
 class Mix:
-    """The plan of one mix: ``docs`` (one row a document, with its place) and each source's target."""
+    """The plan of one mix: ``docs`` (one row a document, with its place), ``queues`` (targets) and ``rows``.
 
-    def __init__(self, docs: DataFrame, targets: list[tuple[object, int, int, int]]):
-        self.docs, self.targets = docs, targets
+    ``rows`` (only when asked for) has each document under its ``row`` number, as the struct ``doc``.
+    """
 
-    @property
-    def limits(self) -> list[int]:
-        return [a // b for _, _, a, b in self.targets]
+    def __init__(self, docs: DataFrame, queues: DataFrame, rows: DataFrame | None = None):
+        self.docs, self.queues, self.rows = docs, queues, rows
 
-    def pieces(self, block: int = BLOCK) -> DataFrame:
+    def pieces(self) -> DataFrame:
         """``row, doc_id, queue, epoch, start_word, n_words, block, slot``: what each slot takes of each document."""
-        spark = self.docs.sparkSession
-        limit = F.element_at(F.array(*[F.lit(x).cast("long") for x in self.limits]) if self.targets else F.array(F.lit(0).cast("long")), F.col("queue") + 1)
         spans = (
             self.docs.where("size > 0")
-            .withColumn("limit", limit)
-            .select("row", "doc_id", "queue", "size", "limit", F.posexplode(F.expr("array(place, place + source_size)")).alias("epoch", "low"))
-            .withColumn("high", F.least(F.col("low") + F.col("size"), F.col("limit")))
+            .select("row", "doc_id", "queue", "size", "give", F.posexplode(F.expr("array(place, place + source_size)")).alias("epoch", "low"))
+            .withColumn("high", F.least(F.col("low") + F.col("size"), F.col("give")))
             .where("high > low")
         )
-        cut = spans.select("*", F.explode(F.expr(f"sequence(low div {block}, (high - 1) div {block})")).alias("block"))
-        return cut.join(slots(spark, self.limits, block), ["queue", "block"]).select(
+        cut = spans.select("*", F.explode(F.expr(f"sequence(low div {BLOCK}, (high - 1) div {BLOCK})")).alias("block"))
+        return cut.join(slots(self.queues), ["queue", "block"]).select(
             "row", "doc_id", "queue", "epoch",
-            (F.greatest("low", F.col("block") * block) - F.col("low")).alias("start_word"),
-            (F.least("high", (F.col("block") + 1) * block) - F.greatest("low", F.col("block") * block)).alias("n_words"),
+            (F.greatest("low", F.col("block") * BLOCK) - F.col("low")).alias("start_word"),
+            (F.least("high", (F.col("block") + 1) * BLOCK) - F.greatest("low", F.col("block") * BLOCK)).alias("n_words"),
             "block", "slot",
         )
 
+    def stretches(self) -> DataFrame:
+        """``row, epoch, start_word, n_words, first_slot, slots``: the pieces of one reading of a document together."""
+        return self.pieces().groupBy("row", "epoch").agg(
+            F.min("start_word").cast("long").alias("start_word"), F.sum("n_words").cast("long").alias("n_words"), F.min("slot").alias("first_slot"), F.count("*").alias("slots")
+        )
+
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix") -> Mix:
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix", keep_rows: bool = False) -> Mix:
     """Sizes, targets and shuffled places of all documents.
 
     ``docs`` has ``doc_id, text, source``.  A document's size is its number of words (null text: 0);
-    documents without words take no place.  Sources by code point, null last, weigh ``weights`` in
-    turn.  The shuffled order is that of ``md5(seed-doc_id)``, then doc_id, size; equal rows are equal.
-    Places are running sums in two levels (digest prefix, then rows), so a source with a third of all
-    rows is spread over many groups.
+    documents without words take no place.  The shuffled order is that of ``md5(seed-doc_id)``, then
+    doc_id, size, row; equal rows are equal.  Other columns are not read, unless rows are kept.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     sized = materialize(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), _row_key().alias("row_key"), F.monotonically_increasing_id().alias("row"),
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row"),
             F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+            *([F.struct("*").alias("doc")] if keep_rows else []),
         ),
         "mix-sizes",
     )
-    sums = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["size"] for r in sums]
-    filled = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most) if sum(sizes) else [(0, 1)] * len(sizes)
-    targets = [(r["source"], r["size"], a, b) for r, (a, b) in zip(sums, filled, strict=True)]
-    spark = docs.sparkSession
-    info = spark.createDataFrame(
-        [(s, i, n, a / b) for i, (s, n, a, b) in enumerate(targets)], "source_name string, queue int, source_size long, target double"
-    )
-    digits = 1
-    while max([r["docs"] for r in sums], default=0) > GROUP * 16**digits:
-        digits += 1
-    known = sized.join(info, F.col("source").eqNullSafe(F.col("source_name")), "left").drop("source_name").withColumn("bucket", F.substring("key", 1, digits))
-    per_bucket = known.groupBy("queue", "bucket").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_bucket.withColumn("base", F.coalesce(F.sum("words").over(earlier), F.lit(0))).drop("words")
-    inside = Window.partitionBy("queue", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = known.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, ["queue", "bucket"])
-    return Mix(placed.select("row", "row_key", "doc_id", "source", "queue", "size", "source_size", "target", (F.col("base") + F.col("inside")).alias("place")), targets)
-
+    queues = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    order = [F.col("source").asc_nulls_last(), F.col("key").asc(), F.col("doc_id").asc_nulls_first(), F.col("size").asc(), F.col("row").asc()]
+    lined = running(sized.select("row", "doc_id", "source", "size", "key"), order, {"before": F.col("size")}, "mix-places").alias("l")
+    placed = lined.join(queues.alias("q"), F.col("l.source").eqNullSafe(F.col("q.source")))
+    return Mix(placed.select("row", "doc_id", "q.source", "queue", "size", "source_size", "target", "give", (F.col("before") - F.col("start")).alias("place")), queues, sized.select("row", "doc") if keep_rows else None)
 
-def taken(mix: Mix, block: int = BLOCK) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every document; ``taken`` counts repeats."""
-    got = mix.pieces(block).groupBy("row").agg(F.sum("n_words").alias("got"))
-    return mix.docs.join(got, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
 
+def taken(mix: Mix) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, first_slot, slots`` of every document.
 
-def _row_key():
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
+    ``taken`` counts repeats; ``first_slot`` is the document's place in the mix (null: not taken) and
+    ``slots`` the number of slots that take from it.
+    """
+    got = mix.stretches().groupBy("row").agg(F.sum("n_words").alias("got"), F.min("first_slot").alias("first_slot"), F.sum("slots").alias("slots"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long") for c in ("got", "slots")]
+    return mix.docs.join(got, "row", "left").select("doc_id", "size", "source_size", "target", counts[0].alias("taken"), "first_slot", counts[1].alias("slots"))
 
 
 def mixed_documents(docs: DataFrame, **plan) -> DataFrame:
-    """The mix as rows of ``docs`` with its columns: each taken stretch of a document, repeats as rows.
+    """The mix as rows of ``docs`` with its columns, filed by slot; each reading of a document is a row.
 
     A stretch that is the whole document keeps its text; the last document of a source is cut to the
-    words taken from it, a space between them; order among rows is free (``pieces`` has each slot).  ``n_chars``, if there, is counted again.  Documents not taken go.
+    words taken from it, a space between them.  ``n_chars``, if there, is counted again.  Documents not
+    taken go.  Partition ``k`` of ``n`` holds that part of the schedule, in the order of slots, so files
+    read one after the other give the sources near their weights at every point.
     """
-    columns = docs.columns
-    mix = plan_mix(docs, **plan)
-    spans = (
-        mix.pieces()
-        .groupBy("row", "epoch")
-        .agg(F.min("start_word").cast("long").alias("start_word"), F.sum("n_words").cast("long").alias("n_words"))
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words"))).alias("spans"))
-    )
-    # a row is found again by a digest of its id, source and text; equal rows by their number among equals
-    by_key = mix.docs.join(spans, "row").groupBy(F.col("row_key").alias("plan_key_")).agg(F.collect_list(F.struct("row", "size", "spans")).alias("plan_found_"))
-    numbered = docs.withColumn("row_key_", _row_key()).withColumn("copy_", F.row_number().over(Window.partitionBy("row_key_").orderBy(F.lit(1))))
-    got = (
-        numbered.join(by_key, F.col("row_key_") == F.col("plan_key_"))
-        .withColumn("found_", F.try_element_at(F.array_sort("plan_found_"), F.col("copy_")))
-        .where("found_ is not null")
-        .select(*[F.col(f"`{c}`") for c in columns], F.col("found_.size").alias("size_"), F.explode("found_.spans").alias("span_"))
-    )
-    part = (F.col("span_.start_word") > 0) | (F.col("span_.n_words") < F.col("size_"))
-    words = F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1))
-    cut = F.when(part, F.array_join(F.slice(words, (F.col("span_.start_word") + 1).cast("int"), F.col("span_.n_words").cast("int")), " ")).otherwise(F.col("text"))
-    out = got.withColumn("text", cut)
+    columns, parts = docs.columns, shuffle_partitions(docs.sparkSession)
+    mix = plan_mix(docs, keep_rows=True, **plan)
+    spans = materialize(mix.docs.select("row", "size").join(mix.stretches(), "row"), "mix-stretches")
+    end = (spans.agg(F.max("first_slot")).first()[0] or 0) + 1
+    got = mix.rows.join(spans, "row").withColumn("file", F.expr(f"cast(cast(first_slot as {_WIDE}) * {parts} div {end} as int)"))
+    got = got.repartitionById(parts, "file").sortWithinPartitions("first_slot", "row", "epoch")
+    words = F.regexp_extract_all("doc.text", F.lit(f"({WORD_PATTERN})"), F.lit(1))
+    part = (F.col("start_word") > 0) | (F.col("n_words") < F.col("size"))
+    text = F.when(part, F.array_join(F.slice(words, (F.col("start_word") + 1).cast("int"), F.col("n_words").cast("int")), " ")).otherwise(F.col("doc.text"))
+    out = {c: F.col(f"doc.`{c}`") for c in columns}
+    out["text"] = text
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+        out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return got.select(*[c.alias(n) for n, c in out.items()])

@@ -77,10 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: The mix in SQL: words, water-filled targets (a source's cap binds in order of size over weight), then
-#: the overlap of each document's two places on its source's line with what the source gives.
+#: the overlap of each document's two places on its source's line with what the source gives; golden-ratio
+#: points give each block of a source its slot.
 _MIX_SQL = """
 with sized as (
-  select doc_id, source,
+  select row_number() over () as rid, doc_id, source,
     cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
     md5('mix-' || coalesce(cast(doc_id as varchar), '')) as key
   from documents),
@@ -108,13 +109,40 @@ targets as (
       else cast(weight * (3 * total - 4 * r.capped_size) as double) / cast(2 * r.weight_left as double) end as target
   from flagged f, rest r),
 placed as (
-  select s.doc_id, s.size, t.source_size, t.target, t.give,
+  select s.rid, t.queue, s.doc_id, s.size, t.source_size, t.target, t.give,
     coalesce(sum(s.size) over (partition by t.queue order by s.key, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as place
-  from sized s join targets t on s.source is not distinct from t.source)
+  from sized s join targets t on s.source is not distinct from t.source),
+opened as (
+  select queue, give, (give + 255) // 256 as needs, sum(give) over () as all_give,
+    coalesce(sum(give) over w, 0)::hugeint as give_before, coalesce(sum((give + 255) // 256) over w, 0) as needs_before
+  from targets where give > 0
+  window w as (order by queue rows between unbounded preceding and 1 preceding)),
+starts as (select *, give_before * 4611686018427387904 // all_give as lo from opened),
+intervals as (select *, coalesce(lead(lo) over (order by queue), 4611686018427387904) as hi from starts),
+points as (
+  select i as slot, ((i + 1)::hugeint * 2850178704830799621) % 4611686018427387904 as point
+  from (select unnest(generate_series(0, (select coalesce(sum(needs), 0)::bigint from opened) - 1)) as i)),
+dealt as (
+  select o.queue, o.needs, p.slot, row_number() over (partition by o.queue order by p.slot) - 1 as block
+  from points p join intervals o on p.point >= o.lo and p.point < o.hi),
+given as (select o.queue, o.needs, o.needs_before, count(r.slot) as given from opened o left join dealt r using (queue) group by all),
+slots as (
+  select queue, block, slot from dealt where block < needs
+  union all
+  select queue, block, (select sum(needs) from opened) + needs_before + block
+  from (select *, unnest(generate_series(given, (needs - 1)::bigint)) as block from given where given < needs)),
+spans as (
+  select rid, queue, e as epoch, place + e * source_size as low, least(place + e * source_size + size, give) as high
+  from placed, (values (0), (1)) v(e) where size > 0),
+first_slots as (
+  select rid, min(slot) as first_slot, count(*) as slots
+  from spans p join slots s on s.queue = p.queue and s.block between p.low // 256 and (p.high - 1) // 256
+  where p.high > p.low group by rid)
 select doc_id, size, cast(source_size as bigint) as source_size, target,
   cast(greatest(0, least(place + size, give) - place)
-    + greatest(0, least(place + source_size + size, give) - (place + source_size)) as bigint) as taken
-from placed
+    + greatest(0, least(place + source_size + size, give) - (place + source_size)) as bigint) as taken,
+  cast(first_slot as bigint) as first_slot, cast(coalesce(slots, 0) as bigint) as slots
+from placed left join first_slots using (rid)
 """
 
 ORACLE_SQL: dict[str, str] = {"op9_mix": _MIX_SQL}

@@ -99,10 +99,15 @@ def attribute(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     own = np.where(first <= last, first, -1)
     held = np.minimum(first, len(starts) - 1)
     crossing = (first <= last) & ((starts[held] > a) | (ends[held] < b))
-    for i in np.flatnonzero(crossing).tolist():
-        s = np.arange(first[i], last[i] + 1)
-        share = np.minimum(ends[s], b[i]) - np.maximum(starts[s], a[i])
-        own[i] = s[np.argmax(share)]
+    i = np.flatnonzero(crossing)
+    if len(i):
+        n = last[i] - first[i] + 1
+        token, begin = np.repeat(i, n), np.cumsum(n) - n
+        s = np.repeat(first[i] - begin, n) + np.arange(len(token))
+        share = np.minimum(ends[s], b[token]) - np.maximum(starts[s], a[token])
+        most = np.flatnonzero(share == np.repeat(np.maximum.reduceat(share, begin), n))
+        hit, at = np.unique(token[most], return_index=True)  # the earliest of equal shares
+        own[hit] = s[most[at]]
     return own, crossing
 
 
@@ -114,14 +119,20 @@ def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ends - lengths, ends
 
 
-def _sorted(spans: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    at = np.array(sorted((x["start"], x["end"]) for x in spans or []), np.int64).reshape(-1, 2)
-    if (at[1:, 0] < at[:-1, 1]).any() or (at[:, 0] >= at[:, 1]).any():
-        raise ValueError("sections are empty or overlap")
-    return at[:, 0], at[:, 1]
+def _sorted(spans: list[dict | None] | None) -> tuple[np.ndarray, list[tuple[int | None, int | None]]]:
+    """Spans in order, and those that are null, open, empty, before the text or over an earlier one."""
+    known = [(None, None) if x is None else (x["start"], x["end"]) for x in spans or []]
+    good: list[tuple[int, int]] = []
+    bad = []
+    for a, b in sorted(known, key=lambda x: tuple((v is not None, v or 0) for v in x)):
+        if a is None or b is None or a < 0 or a >= b or good and a < good[-1][1]:
+            bad.append((a, b))
+        else:
+            good.append((a, b))
+    return np.array(good, np.int64).reshape(-1, 2), bad
 
 
-_OUT = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
+_OUT = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long, doc_tokens long, bad boolean"
 
 
 @tidy
@@ -130,33 +141,43 @@ def _rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBat
     for batch in batches:
         for rows in text_slices(batch):
             texts = [t or "" for t in rows.column(1).to_pylist()]
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-            totals, lines = [], []
-            given = rows.column(2).to_pylist() if rows.num_columns > 2 else [None] * len(texts)
-            for text, spans, own_spans in zip(texts, enc.encode(texts), given, strict=True):
-                starts, ends = line_sections(text) if rows.num_columns == 2 else _sorted(own_spans)
-                spans = np.asarray(spans).reshape(-1, 2)
-                own, crossing = attribute(spans, starts, ends)
-                n = len(starts)
-                for c, v in zip(cols, (np.arange(n), starts, ends, np.bincount(own[own >= 0], minlength=n), np.bincount(own[crossing & (own >= 0)], minlength=n)), strict=True):
-                    c.append(v)
-                totals.append(len(spans))
-                lines.append(n)
-            ids = rows.column(0).take(pa.array(np.repeat(np.arange(len(lines)), lines)))
-            values = [np.concatenate(c) for c in cols]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(values[0].astype(np.int32)), *(pa.array(v.astype(np.int64)) for v in values[1:]), pa.array(np.repeat(totals, lines).astype(np.int64))],
-                names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"],
-            )
+            if rows.num_columns > 2:
+                good, bad = zip(*map(_sorted, rows.column(2).to_pylist()), strict=True)
+            else:
+                good, bad = [np.stack(line_sections(t), axis=1) for t in texts], [[]] * len(texts)
+            tokens = [np.asarray(x).reshape(-1, 2) for x in enc.encode(texts)]
+            n_good, n_tokens, n_bad = (np.array(list(map(len, x)), np.int64) for x in (good, tokens, bad))
+            # all texts on one axis, each beyond the last character or section end of the one before
+            reach = np.array([max(len(t), int(g[-1, 1]) if len(g) else 0) + 1 for t, g in zip(texts, good, strict=True)], np.int64)
+            base = np.cumsum(reach) - reach
+            sections = np.concatenate(good)
+            shift = np.repeat(base, n_good)
+            own, crossing = attribute(np.concatenate(tokens) + np.repeat(base, n_tokens)[:, None], sections[:, 0] + shift, sections[:, 1] + shift)
+            n = len(sections)
+            counts, crossed = np.bincount(own[own >= 0], minlength=n), np.bincount(own[crossing & (own >= 0)], minlength=n)
+            doc = np.repeat(np.arange(len(texts)), n_good)
+            values = [np.arange(n) - np.repeat(np.cumsum(n_good) - n_good, n_good), sections[:, 0], sections[:, 1], counts, crossed, n_tokens[doc]]
+            columns = [pa.array(v.astype(np.int64)) for v in values]
+            columns = [rows.column(0).take(pa.array(doc)), columns[0].cast(pa.int32()), *columns[1:], pa.array(np.zeros(n, bool))]
+            names = [c.split()[0] for c in _OUT.split(", ")]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if n_bad.any():
+                doc = np.repeat(np.arange(len(texts)), n_bad)
+                section = n_good[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n_bad) - n_bad, n_bad)
+                a, b = zip(*[x for some in bad for x in some], strict=True)
+                none = pa.array(np.zeros(len(doc), np.int64))
+                columns = [rows.column(0).take(pa.array(doc)), pa.array(section.astype(np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none, pa.array(n_tokens[doc]), pa.array(np.ones(len(doc), bool))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def section_token_counts(docs: DataFrame, vocabulary: str, spans: str | None = None) -> DataFrame:
     """Tokens of every section of every whole text (null: empty); one row a section.
 
     Sections are the text's lines (an empty text is one empty line), or those in the column ``spans``, an array
-    of structs ``start, end`` of characters (null: none), which may leave gaps but not overlap. ``n_crossing`` of
-    the counted tokens also touch what is outside; ``doc_tokens`` is the text's total, which the ``n_tokens`` of
-    lines add up to.
+    of structs ``start, end`` of characters (null: none), which may leave gaps and end beyond the text.  A null or
+    open span, an empty one, one that starts below 0 or inside an earlier one is ``bad``: it has no tokens, and its
+    number follows those of the others.  ``n_crossing`` of the counted tokens also touch what is outside;
+    ``doc_tokens`` is the text's total, which the ``n_tokens`` of lines add up to.  Repeated rows count each.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
     if spans is not None:
