@@ -7,57 +7,30 @@ All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import mixing, near_dup, packing, quality
-from sparkloom.llm.common import drop_scratch, materialize, scratch_mark, table
+from sparkloom.llm.common import drop_scratch, materialize, scratch_scope, table
 from sparkloom.llm.tokens import vocabulary_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_last_scratch = (0, 0)
-
-
-def _stage(first: bool) -> Callable[[Stage], Stage]:
-    """A stage starts when the one before is written, so that one's scratch tables can go."""
-
-    def around(f: Stage) -> Stage:
-        @wraps(f)
-        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            global _last_scratch
-            if not first:
-                drop_scratch(spark, *_last_scratch)
-            begin = scratch_mark()
-            out = f(spark, docs, sf_dir)
-            _last_scratch = (begin, scratch_mark())
-            return out
-
-        return run_stage
-
-    return around
-
-
-@_stage(first=True)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.  It is fitted on labelled rows of ``docs``."""
     return quality.keep_good(docs, quality.fit_field(docs, table(spark, sf_dir, "labels")))
 
 
-@_stage(first=False)
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
     return near_dup.keep_one(docs)
 
 
-@_stage(first=False)
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed at weights 5, 2, 1 in turn to 150 % of all words; repeats are rows of their own."""
     return mixing.mixed_documents(docs)
 
 
-@_stage(first=False)
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix packed into sequences of 2048 tokens; one row a piece."""
     return packing.pack(docs, vocabulary_path("word_bpe_49k.json"), end_id=1)
@@ -75,9 +48,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``.
+
+    When a stage is written, the tables it worked with and the one before it go; the last stage's stay
+    as long as its result may be read.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k + 1 == len(STAGES) else materialize(out, f"stage-{name}")
+        with scratch_scope() as made:
+            out = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return out
+        with scratch_scope() as written:
+            docs = materialize(out, f"stage-{name}")
+        drop_scratch(spark, made + before)
+        before = written
     return docs
