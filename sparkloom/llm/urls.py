@@ -1,40 +1,55 @@
 """URL filter: host words by unigram Viterbi, then multinomial naive Bayes over host and path tokens.
 
-Explicit rules decide first.  Every url is also cut into tokens: host labels without separators are
-split into the words of a unigram model; path letters are taken as they stand.  The model counts, over
-all urls, only words that stand apart there, and a seed lexicon: a label is no evidence of itself.  Naive Bayes is fitted on all urls with distant labels: a url counts as unwanted
-if a host token is a seed word.  What goes along with such hosts then weighs in everywhere.
+Explicit rules decide first.  Every other url is judged by its tokens: the words of its host's labels
+and the letter runs of its path.
+
+*Words.*  A host label is often several words run together.  The unigram model counts words that stand
+alone: those of all pages' texts (names of hosts in them left out), of paths, and the parts of host
+components that something separates; a small lexicon joins them.  A label is no evidence of itself.
+
+*Evidence.*  Whether a page is unwanted is read from its text, not from its url: from terms of abuse and
+from words repeated over and over (or from a column that the caller names).  Naive Bayes is fitted on
+this evidence outside a held-out fifth of the pages.  Seed words start with odds of their own, which
+the evidence may outweigh, and other words gain odds by the company of unwanted pages.
+
+Counts, words and odds are tables, all of them kept, and are joined; nothing that grows goes through
+the driver.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Host words that mark unwanted sites, and common words of others; both belong to the unigram model.
-UNWANTED = tuple(
+#: Words that hosts of unwanted sites have, with odds of their own; an argument of :func:`judge`.
+SEEDS = tuple(
     "adult ads adserver affiliate banner bet bets betting bonus buy casino cheap click clicks coupon crack dating deal deals drugs escort free gamble gambling hack "
     "jackpot keygen loan loans lottery malware nude payday pharma phish pills poker porn promo pron replica sex sexy slots spam torrent track tracker tracking viagra warez win xxx".split()
 )
-COMMON = tuple(
+#: Common words of hosts that texts of pages may lack; they only help to cut labels.
+LEXICON = tuple(
     "about archive art author blog book books city club com data design doc docs edu event events example forum gov guide health help history home info job jobs journal "
     "lab learn library live mail map maps media mobile music net news online org page paper photo post press project research school science search shop site sport store "
     "study support team tech the time today travel user video web wiki work world www".split()
 )
-LEXICON = frozenset((*UNWANTED, *COMMON))
-#: Words, labels or tokens that each worker holds: the most frequent ones. Rarer ones are joined, with the same results.
-HELD = 50_000
-LONGEST = 24
-#: Letters of a word counted from urls at least, and of a lexicon word that is cut off something unknown.
-SHORTEST, SURE = 3, 4
+#: Terms of abuse in a page's text.
+ABUSE = tuple("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
+#: A page is unwanted if this share of its words is abuse, or its words are this often repeats.
+ABUSE_SHARE, REPEATS = 0.01, 0.8
+#: Log odds that a seed word starts with.
+SEED_ODDS = 6.0
+#: Letters of a label, and so of a word in it, at most: what the domain name system allows.  A longer run of
+#: letters is no label; it is taken as one word.
+LABEL = 63
+#: Sums of log odds are kept in whole billionths, so that their order does not matter.
+UNIT = 10**9
 _A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 Rule = tuple[str, str, str]
@@ -59,285 +74,140 @@ def rule_of(rules: tuple[Rule, ...]):
     return rule, verdict
 
 
-class Unigrams:
-    """Log probabilities of words, and of unknown ones by their length."""
-
-    def __init__(self, counts: dict[str, int], total: int | None = None):
-        total = total or sum(counts.values())
-        self.total = total
-        self.cost = {w: math.log(total) - math.log(n) for w, n in counts.items()}
-        self.unknown = math.log(total + 1) + 2
-
-    def costs(self, counts: dict[str, int]) -> dict[str, float]:
-        """Costs of further words of the same total."""
-        return {w: math.log(self.total) - math.log(n) for w, n in counts.items()}
-
-    def split(self, label: str, more: dict[str, float] = {}) -> list[str]:  # noqa: B006
-        """The cheapest split of a label into words (Viterbi); of equal ones, that with the longer last word."""
-        n = len(label)
-        best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST), end):
-                word = label[start:end]
-                cost = self.cost.get(word)
-                cost = best[start] + (more.get(word, self.unknown + 3 * len(word)) if cost is None else cost)
-                if cost < best[end] - 1e-12:
-                    best[end], back[end] = cost, start
-        out: list[str] = []
-        while n:
-            out.append(label[back[n] : n])
-            n = back[n]
-        return out[::-1]
-
-    def words(self, label: str, more: dict[str, float] = {}) -> list[str]:  # noqa: B006
-        """The split, if all of it is known or a lexicon word of ``SURE`` letters is in it; else the label whole."""
-        parts = self.split(label, more)
-        found = all(w in self.cost or w in more for w in parts) or any(len(w) >= SURE and w in LEXICON for w in parts)
-        return parts if found else [label]
-
-
-_LABEL, _PATH = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W\d_]{2,}")
-
-
-def host_labels(host: str) -> list[str]:
-    """Letter runs of a host."""
-    return _LABEL.findall(host)
-
-
-def made_up(word: str) -> bool:
-    """Whether two or more lexicon words make up ``word``."""
-    ends = [0]  # where a row of lexicon words may end
-    for k in range(1, len(word) + 1):
-        if any(word[a:k] in LEXICON for a in ends if k - a < len(word)):
-            ends.append(k)
-    return len(word) > 0 and ends[-1] == len(word)
-
-
-def apart(host: str, path: str) -> list[str]:
-    """Words of a url that something separates: parts of a host component with more than one, the last
-    component, and words of the path that are no label of the host."""
-    components = host.split(".")
-    runs = [_LABEL.findall(c) for c in components]
-    found = [w for k, r in enumerate(runs) if len(r) > 1 or 0 < k == len(runs) - 1 for w in r]
-    labels = {w for r in runs for w in r}
-    found += [w for w in map(str.lower, _PATH.findall(path)) if w not in labels]
-    return [w for w in found if SHORTEST <= len(w) <= LONGEST and (w in LEXICON or not made_up(w))]
-
-
-def made_up(word: str) -> bool:
-    """Whether two or more lexicon words make up ``word``."""
-    ends = [0]  # where a row of lexicon words may end
-    for k in range(1, len(word) + 1):
-        if any(word[a:k] in LEXICON for a in ends if k - a < len(word)):
-            ends.append(k)
-    return len(word) > 0 and ends[-1] == len(word)
-
-
-def apart(host: str, path: str) -> list[str]:
-    """Words of a url that something separates: parts of a host component with more than one, the last
-    component, and words of the path that are no label of the host."""
-    components = host.split(".")
-    runs = [_LABEL.findall(c) for c in components]
-    found = [w for k, r in enumerate(runs) if len(r) > 1 or 0 < k == len(runs) - 1 for w in r]
-    labels = {w for r in runs for w in r}
-    found += [w for w in map(str.lower, _PATH.findall(path)) if w not in labels]
-    return [w for w in found if SHORTEST <= len(w) <= LONGEST and (w in LEXICON or not made_up(w))]
-
-
-class Tokenizer:
-    def __init__(self, unigrams: Unigrams):
-        self.unigrams = unigrams
-        self.split = lru_cache(maxsize=100_000)(self.unigrams.words)
-
-    def tokens(self, host: str, path: str) -> tuple[list[str], list[str]]:
-        words = [w for label in host_labels(host) for w in self.split(label)]
-        return words, [w.lower() for w in _PATH.findall(path)]
-
-
-def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        found = [w for host, path in zip(b["host"], b["path"], strict=True) for w in apart(host, path)]
-        if found:
-            n = pd.Series(found).value_counts()
-            yield pd.DataFrame({"word": n.index, "n": n.to_numpy()})
-
-
-def _top(counts: DataFrame, by: Column, name: str, held: int, tag: str) -> tuple[list[Row], DataFrame, DataFrame | None]:
-    """The ``held`` first rows by ``by``; all rows; the other rows, or None if there are none."""
-    top = counts.orderBy(by.desc(), name).limit(held + 1).collect()
-    if len(top) <= held:
-        return top, counts, None
-    counts = materialize(counts, tag).withColumn("by_", by)
-    n, last = counts.where(F.col(name) == top[held][name]).first()["by_"], top[held][name]
-    return top[:held], counts.drop("by_"), counts.where((F.col("by_") < n) | ((F.col("by_") == n) & (F.col(name) >= last))).drop("by_")
-
-
-def fit_unigrams(pages: DataFrame, held: int = HELD) -> tuple[Unigrams, DataFrame | None]:
-    """Counts of words that stand apart over all urls, joined with the lexicon.
-
-    The model holds the ``held`` most frequent words; the table ``word, n`` has all others (None: there are none).
-    """
-    counts = pages.select("host", "path").mapInPandas(_apart, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top, counts, rest = _top(counts, F.col("n"), "word", held, "url-counts")
-    model = {r["word"]: r["n"] for r in top}
-    total = sum(model.values())
-    if rest is not None:
-        total = counts.agg(F.sum("n")).first()[0]
-        model |= {r["word"]: r["n"] for r in counts.where(F.col("word").isin(*LEXICON)).collect()}
-        rest = rest.where(~F.col("word").isin(*LEXICON))
-    floor = max(1, total // 10_000)
-    for w in LEXICON:
-        model[w] = model.get(w, 0) + floor
-    return Unigrams(model, total + floor * len(LEXICON)), rest
-
-
-def _words(batches: Iterator[pd.DataFrame], unigrams: Unigrams) -> Iterator[pd.DataFrame]:
-    split = lru_cache(maxsize=100_000)(unigrams.words)
-    for b in batches:
-        yield b.assign(words=[" ".join(w for label in host_labels(h) for w in split(label)) for h in b["host"]])
-
-
-def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        found = [w for h in b["host"] for w in host_labels(h)]
-        if found:
-            n = pd.Series(found).value_counts()
-            yield pd.DataFrame({"label": n.index, "n": n.to_numpy()})
+def _runs(text: Column, shortest: int = 1) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"([\p{{L}}]{{{shortest},}})"), F.lit(1))
 
 
-def _pieces(batches: Iterator[pd.DataFrame], unigrams: Unigrams) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for label in b["label"]:
-            words = {label[k : k + n] for n in range(SHORTEST, LONGEST + 1) for k in range(len(label) - n + 1)} - unigrams.cost.keys()
-            if words:
-                yield pd.DataFrame({"label": label, "word": list(words)})
-
-
-def _splits(batches: Iterator[pd.DataFrame], unigrams: Unigrams) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        more = [{} if w is None else unigrams.costs(dict(zip(w, n, strict=True))) for w, n in zip(b["found"], b["counts"], strict=True)]
-        yield pd.DataFrame({"label": b["label"], "n": b["n"], "cut": [" ".join(unigrams.words(x, m)) for x, m in zip(b["label"], more, strict=True)]})
+def page_words(html: Column) -> Column:
+    """Words of a page's text in small letters: without tags, scripts, styles, and names of hosts."""
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    text = F.regexp_replace(text, r"<[^>]*>|&#?\w+;", " ")
+    return _runs(F.lower(F.regexp_replace(text, r"[\w-]+(?:\.[\w-]+)+", " ")))
 
 
-def _held_cuts(batches: Iterator[pd.DataFrame], cuts: dict[str, str]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        labels = [host_labels(h) for h in b["host"]]
-        yield b.assign(labels=labels, cuts=[[cuts.get(x) for x in r] for r in labels], open=[sorted({x for x in r if x not in cuts}) for r in labels])
+def content_evidence(words: Column) -> Column:
+    """Whether a page with these words is unwanted; null for a page without words."""
+    n = F.size(words)
+    abuse = F.size(F.filter(words, lambda w: w.isin(*ABUSE)))
+    repeats = 1 - F.size(F.array_distinct(words)) / n
+    return F.when(n > 0, (abuse >= ABUSE_SHARE * n) | ((repeats >= REPEATS) & (n >= 20)))
 
 
-def with_words(pages: DataFrame, held: int = HELD) -> DataFrame:
-    """Adds ``words``: those of all host labels.
+def standing_words(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    """``word, n`` of all words that stand alone on ``pages`` (host, path, words), and of the lexicon.
 
-    Where not all words of the model fit into ``held``, every different label is split once, with the rarer
-    words that occur in it joined to it, and labels beyond the ``held`` most frequent are joined to their urls.
+    Words over :data:`LABEL` letters, and words made of lexicon words, are left out; each lexicon word counts
+    as often as one in ten thousand, at least once.
     """
-    unigrams, rest = fit_unigrams(pages, held)
-    schema = "page_id long, host string, path string"
-    if rest is None:
-        return pages.mapInPandas(partial(_words, unigrams=unigrams), f"{schema}, words string")
-    labels = pages.select("host").mapInPandas(_labels, "label string, n long").groupBy("label").agg(F.sum("n").alias("n"))
-    labels = materialize(labels, "url-labels")
-    found = labels.select("label").mapInPandas(partial(_pieces, unigrams=unigrams), "label string, word string").join(rest, "word").groupBy("label").agg(F.collect_list(F.struct("word", F.col("n").alias("c"))).alias("f"))
-    known = labels.join(found, "label", "left").select("label", "n", F.col("f.word").alias("found"), F.col("f.c").alias("counts"))
-    cuts, _, others = _top(known.mapInPandas(partial(_splits, unigrams=unigrams), "label string, n long, cut string"), F.col("n"), "label", held, "url-splits")
-    rows = pages.withColumn("row_", F.monotonically_increasing_id())
-    rows = rows.mapInPandas(partial(_held_cuts, cuts={r["label"]: r["cut"] for r in cuts}), f"{schema}, row_ long, labels array<string>, cuts array<string>, open array<string>")
-    done = rows.where(F.size("open") == 0).select("page_id", "host", "path", F.array_join("cuts", " ").alias("words"))
-    if others is not None:
-        joined = rows.select("*", F.explode("open").alias("label")).join(others.select("label", "cut"), "label")
-        joined = joined.groupBy("row_").agg(*[F.first(c).alias(c) for c in ("page_id", "host", "path", "labels", "cuts")], F.map_from_entries(F.collect_list(F.struct("label", "cut"))).alias("m"))
-        done = done.unionByName(joined.select("page_id", "host", "path", F.expr("array_join(zip_with(labels, cuts, (l, c) -> coalesce(c, m[l])), ' ')").alias("words")))
-    return materialize(done, "url-words")
-
-
-def tokens(words: str, path: str) -> list[str]:
-    """Host words, and letter runs of the path in small letters."""
-    return [*words.split(), *[w.lower() for w in _PATH.findall(path)]]
-
-
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bad = set(UNWANTED)
-    for b in batches:
-        rows: dict[tuple[str, bool], int] = {}
-        for words, path in zip(b["words"], b["path"], strict=True):
-            unwanted = not bad.isdisjoint(words.split())
-            for w in tokens(words, path):
-                rows[w, unwanted] = rows.get((w, unwanted), 0) + 1
-        if rows:
-            yield pd.DataFrame([(w, u, n) for (w, u), n in rows.items()], columns=["token", "unwanted", "n"])
-
-
-class NaiveBayes:
-    """Multinomial naive Bayes with add-one smoothing and even priors; ``totals`` are of all tokens, held or not."""
-
-    def __init__(self, good: dict[str, int], bad: dict[str, int], totals: tuple[int, int, int] | None = None):
-        g, b, names = totals or (sum(good.values()), sum(bad.values()), len({*good, *bad}))
-        self.g, self.b = g + names + 1, b + names + 1
-        self.odds = {w: self.of(good.get(w, 0), bad.get(w, 0)) for w in {*good, *bad}}
-
-    def of(self, good: int, bad: int) -> float:
-        """Log odds of a token of these counts: unwanted against wanted."""
-        return math.log((bad + 1) / self.b) - math.log((good + 1) / self.g)
-
-
-def _odds(batches: Iterator[pd.DataFrame], bayes: NaiveBayes) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"token": b["token"], "odds": [bayes.of(g, n) for g, n in zip(b["good"], b["bad"], strict=True)]})
-
-
-def fit_bayes(pages: DataFrame, held: int = HELD) -> tuple[NaiveBayes, DataFrame | None]:
-    """Token counts of all urls by distant label, with each seed word once more on its side.
-
-    The model holds the ``held`` most frequent tokens; the table ``token, odds`` has all others (None: there are none).
+    lexicon = sorted({*LEXICON, *seeds})
+    # host components with more than one run of letters, each run by itself
+    parts = F.flatten(F.transform(F.split("host", r"\."), lambda c: F.when(F.size(_runs(c)) > 1, _runs(c)).otherwise(F.array().cast("array<string>"))))
+    found = pages.select(F.explode(F.concat("words", _runs(F.lower("path"), 2), parts)).alias("word"))
+    made_up = F.col("word").rlike("^(?:" + "|".join(lexicon) + "){2,}$") & ~F.col("word").isin(*lexicon)
+    counts = found.where((F.length("word") <= LABEL) & ~made_up).groupBy("word").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "url-standing")
+    floor = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // 10_000)
+    more = pages.sparkSession.createDataFrame([(w, floor) for w in lexicon], "word string, n long")
+    return counts.unionByName(more).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def split_label(label: str, costs: dict[str, float], unknown: float) -> list[str]:
+    """The cheapest cut of a label into words (Viterbi); of equal ones, that with the longer last word.
+
+    ``costs`` are negative log probabilities of known words; an unknown word costs ``unknown`` and 3 a letter.
+    A label is cut only if all its parts are known; else it is one word.
     """
-    seeds = F.explode(F.array(*[F.struct(F.lit(w).alias("token"), F.lit(w in UNWANTED).alias("unwanted"), F.lit(1).cast("long").alias("n")) for k in (COMMON, UNWANTED) for w in k]))
-    counts = pages.select("words", "path").mapInPandas(_tokens, "token string, unwanted boolean, n long").unionByName(pages.sparkSession.range(0, 1, 1, 1).select(seeds.alias("s")).select("s.*"))
-    per = counts.groupBy("token").agg(F.sum(F.when(~F.col("unwanted"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("unwanted"), F.col("n")).otherwise(0)).alias("bad"))
-    top, per, rest = _top(per, F.col("good") + F.col("bad"), "token", held, "url-tokens")
-    totals = None if rest is None else tuple(per.agg(F.sum("good"), F.sum("bad"), F.count("*")).first())
-    bayes = NaiveBayes({r["token"]: r["good"] for r in top}, {r["token"]: r["bad"] for r in top}, totals)
-    # of the held tokens only the totals go along
-    return bayes, None if rest is None else rest.mapInPandas(partial(_odds, bayes=NaiveBayes({}, {}, totals)), "token string, odds double")
-
-
-def _held_odds(batches: Iterator[pd.DataFrame], bayes: NaiveBayes) -> Iterator[pd.DataFrame]:
+    n = len(label)
+    best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    for end in range(1, n + 1):
+        for start in range(end):
+            cost = best[start] + costs.get(label[start:end], unknown + 3 * (end - start))
+            if cost < best[end] - 1e-12:
+                best[end], back[end] = cost, start
+    out, at = [], n
+    while at:
+        out.append(label[back[at] : at])
+        at = back[at]
+    return out[::-1] if all(w in costs for w in out) else [label]
+
+
+def _splits(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
+    unknown = math.log(total + 1) + 2
     for b in batches:
-        all_ = [tokens(w, p) for w, p in zip(b["words"], b["path"], strict=True)]
-        yield b.assign(odds=[[bayes.odds[w] for w in r if w in bayes.odds] for r in all_], open=[[w for w in r if w not in bayes.odds] for r in all_])
+        cut = []
+        for label, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            costs = {x["word"]: math.log(total) - math.log(x["n"]) for x in found or []}
+            cut.append(split_label(label, costs, unknown) if len(label) <= LABEL else [label])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, pa.list_(pa.string()))], names=["label", "cut"])
 
 
-def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:  # the exact sum, rounded once: the order does not matter
-        yield b.drop(columns="odds").assign(score=[math.fsum(r) for r in b["odds"]])
+def label_words(hosts: DataFrame, standing: DataFrame) -> DataFrame:
+    """``label, cut`` of every different label (run of letters) of ``hosts`` (host), cut into words."""
+    labels = materialize(hosts.select(F.explode(_runs(F.col("host"))).alias("label")).distinct(), "url-labels")
+    total = standing.agg(F.sum("n")).first()[0]
+    starts = F.explode(F.sequence(F.lit(1), F.length("label")))
+    pieces = labels.where(F.length("label") <= LABEL).select("label", starts.alias("a")).select("label", F.explode(F.expr("transform(sequence(1, length(label) - a + 1), n -> substring(label, a, n))")).alias("word"))
+    found = pieces.distinct().join(standing, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    known = labels.join(found, "label", "left").select("label", "found")
+    return known.mapInArrow(partial(_splits, total=total), "label string, cut array<string>")
 
 
-def _scores(batches: Iterator[pd.DataFrame], bayes: NaiveBayes) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield b.assign(score=[math.fsum(bayes.odds[w] for w in tokens(words, p)) for words, p in zip(b["words"], b["path"], strict=True)])
-
+def host_words(hosts: DataFrame, standing: DataFrame) -> DataFrame:
+    """``host, words`` of every different host."""
+    hosts = hosts.select("host").distinct()
+    runs = hosts.select("host", F.posexplode(_runs(F.col("host"))).alias("at", "label"))
+    cut = runs.join(label_words(hosts, standing), "label").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "cut"))).alias("cuts"))
+    return hosts.join(cut, "host", "left").select("host", F.coalesce(F.flatten("cuts.cut"), F.array().cast("array<string>")).alias("host_words"))
 
-def with_score(pages: DataFrame, held: int = HELD) -> DataFrame:
-    """Adds ``score``: log odds of unwanted against wanted, of every token; the rarer ones are joined to their urls."""
-    bayes, rest = fit_bayes(pages, held)
-    schema = "page_id long, host string, path string, words string"
-    if rest is None:
-        return pages.mapInPandas(partial(_scores, bayes=bayes), f"{schema}, score double")
-    rows = materialize(pages, "url-rows").withColumn("row_", F.monotonically_increasing_id())
-    rows = rows.mapInPandas(partial(_held_odds, bayes=bayes), f"{schema}, row_ long, odds array<double>, open array<string>")
-    names = ["page_id", "host", "path", "words"]
-    joined = rows.select("*", F.explode("open").alias("token")).drop("open").join(rest.withColumnRenamed("odds", "more"), "token")
-    joined = joined.groupBy("row_").agg(*[F.first(c).alias(c) for c in names], F.concat(F.first("odds"), F.collect_list("more")).alias("odds"))
-    return rows.where(F.size("open") == 0).select(*names, "odds").unionByName(joined.select(*names, "odds")).mapInPandas(_sums, f"{schema}, score double")
 
+def token_odds(urls: DataFrame, seeds: tuple[str, ...] = SEEDS, seed_odds: float = SEED_ODDS) -> tuple[DataFrame, int]:
+    """(``token, odds`` of every token, prior odds), in units of a billionth, of unwanted against wanted.
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, held: int = HELD) -> DataFrame:
-    """``page_id, host, path, rule, verdict, words, score`` of every row of ``pages`` (page_id, url).
-
-    The verdict is the longest fitting rule's, else block where the log odds are above 0.  A null url,
-    or one without ``://``, has empty parts, fits no rule, has no tokens, and is allowed (odds 0).
-    Results do not depend on ``held``.
+    ``urls`` has ``tokens, wanted, unwanted``: how many pages of each kind have these tokens.  Add-one
+    smoothing over all different tokens; the prior is that of the pages, one more of each kind.
+    """
+    each = urls.select(F.explode("tokens").alias("token"), "wanted", "unwanted")
+    counts = materialize(each.groupBy("token").agg(F.sum("wanted").alias("good"), F.sum("unwanted").alias("bad")), "url-tokens")
+    good, bad, names = counts.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0)), F.count("*")).first()
+    wanted, unwanted = urls.agg(F.coalesce(F.sum("wanted"), F.lit(0)), F.coalesce(F.sum("unwanted"), F.lit(0))).first()
+    odds = F.log((F.col("bad") + 1) / F.lit(bad + names + 1)) - F.log((F.col("good") + 1) / F.lit(good + names + 1))
+    odds = odds + F.when(F.col("token").isin(*seeds), F.lit(float(seed_odds))).otherwise(F.lit(0.0))
+    prior = round(UNIT * math.log((unwanted + 1) / (wanted + 1)))
+    return counts.select("token", F.round(odds * UNIT).cast("long").alias("odds")), prior
+
+
+def judge(
+    pages: DataFrame, rules: tuple[Rule, ...] = RULES, evidence: str | None = None, seeds: tuple[str, ...] = SEEDS, seed_odds: float = SEED_ODDS
+) -> DataFrame:
+    """``page_id, host, path, rule, verdict, words, score, evidence, held_out`` of every row of ``pages``.
+
+    ``pages`` has ``page_id, url, html`` (without ``html``: no texts); ``evidence`` names a boolean column of
+    its own that says which pages are unwanted (null: not known), in place of the text's.  The verdict is
+    the longest fitting rule's, else block where the log odds ``score`` are above 0.  A null url, or one
+    without ``://``, has empty parts and no tokens, fits no rule, and its odds are the prior's alone.
+    Pages whose id's crc32 is a multiple of 5 are held out: their evidence is not used.  Rows without id
+    and repeated rows are judged each; a null html has no words.
     """
-    parts = with_parts(pages.select("page_id", "url")).select(F.col("page_id").cast("long").alias("page_id"), "host", "path")
-    scored = with_score(with_words(parts, held), held)
+    columns = {c.lower() for c in pages.columns}
+    html = F.col("html") if "html" in columns else F.lit(None).cast("string")
+    given = F.col(f"`{evidence}`").cast("boolean") if evidence else F.lit(None).cast("boolean")
+    held = F.coalesce(F.crc32(F.col("page_id").cast("string")) % 5 == 0, F.lit(False))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), given.alias("evidence"), held.alias("held_out"))
+    rows = materialize(with_parts(rows).withColumn("words", page_words(F.col("html"))).drop("html", "url"), "url-texts")
+    standing = materialize(standing_words(rows.select("host", "path", "words"), seeds), "url-words")
+    told = F.col("evidence") if evidence else content_evidence(F.col("words"))
+    rows = rows.select("page_id", "host", "path", _runs(F.lower("path"), 2).alias("path_words"), told.alias("evidence"), "held_out")
+    rows = materialize(rows, "url-rows")
+    # equal hosts and path words are one url from here on, so hosts with many pages weigh little
+    learn = F.col("evidence").isNotNull() & ~F.col("held_out")
+    kinds = [F.coalesce(F.sum(F.when(learn & e, 1).otherwise(0)), F.lit(0)).cast("long").alias(n) for n, e in (("wanted", ~F.col("evidence")), ("unwanted", F.col("evidence")))]
+    urls = rows.groupBy("host", "path_words").agg(*kinds)
+    urls = urls.join(host_words(rows.select("host"), standing), "host").withColumn("tokens", F.concat("host_words", "path_words"))
+    urls = materialize(urls, "url-kinds")
+    odds, prior = token_odds(urls, seeds, seed_odds)
+    sums = urls.select("host", "path_words", F.explode("tokens").alias("token")).join(odds, "token").groupBy("host", "path_words").agg(F.sum("odds").alias("odds"))
+    scored = urls.join(sums, ["host", "path_words"], "left").select("host", "path_words", F.array_join("host_words", " ").alias("words"), ((F.coalesce("odds", F.lit(0)) + prior) / UNIT).alias("score"))
     rule, verdict = rule_of(rules)
-    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "words", "score")
+    return rows.join(scored, ["host", "path_words"]).select(
+        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "words", "score", "evidence", "held_out"
+    )

@@ -1,4 +1,8 @@
 import itertools
+import math
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -17,6 +21,94 @@ WANT = {
 }
 
 
+def _text(html):
+    text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", html or "")
+    text = re.sub(r"&#?\w+;", " ", re.sub(r"(?s)<[^>]*>", " ", text))
+    return re.findall(r"[^\W\d_]+", re.sub(r"[\w-]+(\.[\w-]+)+", " ", text).lower())
+
+
+def brute(rows, seeds=urls.SEEDS):
+    """(words, score) of each row (page_id, url, html), one after the other."""
+    lexicon = {*urls.LEXICON, *seeds}
+    made = re.compile("^(?:" + "|".join(sorted(lexicon)) + "){2,}$")
+    counts, parsed = Counter(), []
+    for page_id, url, html in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host, path = re.match(r"^[^/?#]*", rest)[0].lower(), re.match(r"^[^/?#]*([^?#]*)", rest)[1]
+        words, path_words = _text(html), re.findall(r"[^\W\d_]{2,}", path.lower())
+        found = words + path_words + [w for c in host.split(".") for w in re.findall(r"[^\W\d_]+", c) if len(re.findall(r"[^\W\d_]+", c)) > 1]
+        counts.update(w for w in found if len(w) <= 63 and (w in lexicon or not made.match(w)))
+        abuse, n = sum(w in urls.ABUSE for w in words), len(words)
+        evidence = None if not n else abuse >= urls.ABUSE_SHARE * n or (1 - len(set(words)) / n >= urls.REPEATS and n >= 20)
+        parsed.append((page_id, host, path_words, evidence, page_id is not None and zlib.crc32(str(page_id).encode()) % 5 == 0))
+    floor = max(1, sum(counts.values()) // 10_000)
+    for w in lexicon:
+        counts[w] += floor
+    total = sum(counts.values())
+
+    def cut(label):
+        best = (math.inf, [])
+        for cuts in itertools.product((0, 1), repeat=max(0, len(label) - 1)):
+            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(label)]
+            parts = [label[x:y] for x, y in itertools.pairwise(at)]
+            cost = sum(math.log(total / counts[w]) if w in counts else math.log(total + 1) + 2 + 3 * len(w) for w in parts)
+            if cost < best[0] - 1e-9:
+                best = cost, parts
+        return best[1] if all(w in counts for w in best[1]) else [label]
+
+    tokens = [[w for label in re.findall(r"[^\W\d_]+", host) for w in cut(label)] for _, host, *_ in parsed]
+    kinds, docs = {False: Counter(), True: Counter()}, Counter()
+    names = {w for t, p in zip(tokens, parsed, strict=True) for w in t + p[2]}
+    for t, (_, _, path_words, evidence, held) in zip(tokens, parsed, strict=True):
+        if evidence is not None and not held:
+            kinds[evidence].update(t + path_words)
+            docs[evidence] += 1
+    size = {k: sum(c.values()) + len(names) + 1 for k, c in kinds.items()}
+    odds = lambda w: math.log((kinds[True][w] + 1) / size[True]) - math.log((kinds[False][w] + 1) / size[False]) + (urls.SEED_ODDS if w in seeds else 0)
+    prior = math.log((docs[True] + 1) / (docs[False] + 1))
+    return [(" ".join(t), prior + sum(map(odds, t + p[2]))) for t, p in zip(tokens, parsed, strict=True)]
+
+
+GOOD = "<p>The rain in Spain stays mainly in the plain, and <b>the news</b> goes on &amp; on</p><script>casino()</script> free-bets.example.net"
+ABUSIVE = "<p>What a stupid idiot, you worthless scum, the trash of the plain</p>"
+
+
+def small_web():
+    """Pages of which two hosts without a seed word have abusive texts."""
+    rows = []
+    for i in range(120):
+        host = ["theplain.example.org", "newsrain.example.org", "rainmain.example.org", "blog.thenews.example.org"][i % 4]
+        bad = host in ("rainmain.example.org",) and i % 8 != 7
+        rows.append((i, f"https://{host}/en/{i}.html", ABUSIVE if bad else GOOD + " main rain"))
+    rows += [(1000, "http://cheappills.example.org/x", GOOD), (1001, "http://mainrain.example.org/z", None), (1002, None, None), (None, "http://freecasinobonus.example.org", GOOD), (1003, "http://casinospain.example.org/", GOOD)]
+    return rows + [(2**53 + 1, "http://theplain.example.org/", GOOD), (2**53 + 1, "http://theplain.example.org/", GOOD)]
+
+
+def test_words_scores_and_verdicts_equal_brute_force(spark):
+    rows = small_web()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: chat.F.lit(True) for c in ("words", "token", "odds", "evidence", "label")}).repartition(3)
+    got = urls.judge(df, rules=()).collect()
+    assert len(got) == len(rows) and sum(r["page_id"] == 2**53 + 1 for r in got) == 2
+    key = lambda i: (i is None, i)
+    for r, (i, want) in zip(sorted(got, key=lambda r: key(r["page_id"])), sorted(zip([x[0] for x in rows], brute(rows), strict=True), key=lambda x: key(x[0])), strict=True):
+        assert r["page_id"] == i and r["words"] == want[0] and abs(r["score"] - want[1]) < 1e-6
+        assert r["verdict"] == ("block" if want[1] > 0 else "allow")
+    by = {r["page_id"]: r for r in got}
+    assert by[None]["words"] == "free casino bonus example org" and by[1000]["words"] == "cheap pills example org"
+    assert by[1003]["words"] == "casino spain example org" and by[0]["words"] == "the plain example org"
+    # a host without a seed word is blocked for what its pages say, one of the same words elsewhere too
+    assert by[2]["verdict"] == by[1001]["verdict"] == "block" and by[0]["verdict"] == by[1]["verdict"] == "allow"
+    assert by[1000]["verdict"] == by[None]["verdict"] == "block"
+
+
+def test_evidence_outweighs_seeds_and_may_be_given(spark):
+    rows = [(i, f"http://{['freebooks', 'freerain'][i % 2]}.example.org/{i}", i % 2 == 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean").repartition(2)
+    got = urls.judge(df, rules=(), evidence="bad", seeds=("free",), seed_odds=1.0).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(held) > 600 and all((r["verdict"] == "block") == r["evidence"] for r in held)
+
+
 def test_judge(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, host string, html string")
     rows = urls.judge(pages).collect()
@@ -25,20 +117,21 @@ def test_judge(spark):
         host, path, rule, verdict = WANT[r["page_id"]]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert verdict is None or r["verdict"] == verdict
-    assert {r["words"] for r in rows if r["page_id"] == 9} == {"cheap pills example org"}
     assert urls.judge(pages.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "http://" + "thenews" * 2000 + ".org/" + "a/" * 5000)], "page_id long, url string")
+    assert urls.judge(long).first()["words"] == "thenews" * 2000 + " org"
 
 
 def test_split_is_the_cheapest():
-    model = urls.Unigrams({"the": 50, "rain": 5, "in": 60, "spain": 5, "there": 9, "a": 30})
-    for label in ("therain", "inspain", "xain", "a", "theraininspain"):
+    counts = {"the": 50, "rain": 5, "in": 60, "spain": 5, "there": 9, "a": 30}
+    costs = {w: math.log(159 / n) for w, n in counts.items()}
+    for label in ("therain", "inspain", "a", "theraininspain"):
         best = np.inf
         for cuts in itertools.product((0, 1), repeat=len(label) - 1):
             at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(label)]
-            words = [label[x:y] for x, y in itertools.pairwise(at)]
-            best = min(best, sum(model.cost.get(w, model.unknown + 3 * len(w)) for w in words))
-        assert np.isclose(sum(model.cost.get(w, model.unknown + 3 * len(w)) for w in model.split(label)), best)
-    assert model.split("therain") == ["the", "rain"] and model.split("") == []
+            best = min(best, sum(costs.get(label[x:y], 7.1 + 3 * (y - x)) for x, y in itertools.pairwise(at)))
+        assert np.isclose(sum(costs[w] for w in urls.split_label(label, costs, 7.1)), best)
+    assert urls.split_label("therain", costs, 7.1) == ["the", "rain"] and urls.split_label("", costs, 7.1) == [] and urls.split_label("xain", costs, 7.1) == ["xain"]
 
 
 @pytest.fixture(scope="module")
