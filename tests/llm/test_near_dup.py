@@ -67,6 +67,8 @@ def test_components_like_all_pairs(spark, k):
 def test_hot_keys_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "KEY_ROWS", 16)
     monkeypatch.setattr(near_dup, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(near_dup, "STAR", 8)
+    monkeypatch.setattr(near_dup, "CENTRES", 1)  # so that much is left for the comparison across classes
     rng = random.Random(5)
     base = ["b%d" % i for i in range(120)]
     rows = []
@@ -80,6 +82,20 @@ def test_hot_keys_in_blocks(spark, monkeypatch):
     assert got == brute(rows, 4)
 
 
+def test_far_members_of_a_group_link_through_others(spark, monkeypatch):
+    """A chain of texts, each near the next and far from the centre, is one class."""
+    monkeypatch.setattr(near_dup, "KEY_ROWS", 16)
+    base = ["c%d" % i for i in range(100)]
+    rows = []
+    for d in range(60):
+        w = list(base)
+        w[: d // 3] = ["y%d" % i for i in range(d // 3)]
+        rows.append((d, " ".join(w)))
+    df = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], SCHEMA)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df, 4).collect()}
+    assert got == brute(rows, 4)
+
+
 def test_odd_rows(docs, no_docs):
     rows = near_dup.near_duplicates(docs, 4).collect()
     assert len(rows) == docs.count()
@@ -98,13 +114,26 @@ def test_odd_rows(docs, no_docs):
 
 
 def test_keep_one(docs, no_docs):
+    from pyspark.sql import functions as F
+
+    docs = docs.withColumns({c: F.lit(7) for c in ("key_", "id_", "no_id_", "nth_", "text_key", "doc", "no_id")})
     kept = near_dup.keep_one(docs, 5)
+    assert all(r["nth_"] == 7 and r["key_"] == 7 and r["doc"] == 7 for r in kept.collect())
     assert kept.columns == docs.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x or 0))
     assert ids == [1, 3, 4, 5, 6, 7, 8, 9, 10, None]
     assert near_dup.keep_one(no_docs).count() == 0
 
 
+def test_rows_that_repeat_an_id(spark):
+    """An id with two texts links by each of them, as a centre and as a member."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " x"), (3, text("b") + " x"), (0, text("z")), (9, text("z") + " x"), (9, text("q")), (10, text("q") + " y")]
+    df = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], SCHEMA).repartition(2)
+    got = {(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(df, 4).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (0, 0), (9, 0), (10, 0)}
+
+
 def test_chain_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r["id"]: r["component"] for r in near_dup.components(links).collect()}
