@@ -15,9 +15,8 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, tidy
@@ -27,10 +26,6 @@ ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)
 #: Parts of a conversation that are decoded together.
 PARTS = 64
-#: Conversations that the tables are counted on at most (those with the least hash of their id).
-FIT_CONVERSATIONS = 2000
-#: Parts of such a conversation at most; others are not drawn.
-FIT_PARTS = 200
 MARKERS = ("none", *ROLES, "named")
 _WORDS = {
     "system": "system|sys|instruction|instructions|context",
@@ -80,30 +75,46 @@ class Model:
         self.first, self.step, self.emit = first, step, emit
 
 
-def fit(parts: pd.DataFrame) -> Model:
-    """Counts with smoothing over rows ``conv_id, part, role, text``; no rows give even tables."""
+def count(rows: Iterator[tuple]) -> dict[tuple[str, int, int], int]:
+    """Counts over rows ``(group, opening, role, text)`` that come in order: (table, row, column) -> times.
+
+    Tables: ``first`` (state), ``ends`` (state, whether the next line begins a turn), ``nexts`` (role, next role),
+    ``kinds`` (state, marker class) and ``shapes`` (state, features).
+    """
+    out: dict[tuple[str, int, int], int] = {}
+    group, before = None, None
+    for own, opening, role, text in rows:
+        if own != group:
+            group, before = own, None
+        elif role in ROLES:
+            opening = False
+        if role not in ROLES:
+            continue
+        for i, s in enumerate(symbols([read_line(x) for x in (text or "").split("\n")]).tolist()):
+            state = 2 * ROLES.index(role) + (i > 0)
+            found = [("kinds", state, s // FEATURES), ("shapes", state, s % FEATURES)]
+            if before is not None:
+                found.append(("ends", before, int(i == 0)))
+                if not i:
+                    found.append(("nexts", before // 2, state // 2))
+            elif opening:
+                found.append(("first", state, 0))
+            for key in found:
+                out[key] = out.get(key, 0) + 1
+            before = state
+    return out
+
+
+def tables(counts: dict[tuple[str, int, int], int]) -> Model:
+    """The model of such counts, smoothed; no counts give even tables."""
     first, ends, nexts, kinds, shapes = np.full(STATES, 0.1), np.ones((STATES, 2)), np.full((len(ROLES), len(ROLES)), 0.5), np.full((STATES, len(MARKERS)), 0.005), np.full((STATES, FEATURES), 0.01)
     first[1::2] = 1e-6
     for r in range(len(ROLES)):  # what a state that is rarely seen is taken for: its own marker, inner lines without one
         kinds[2 * r, [0, 1 + r]] += 2, 8
         kinds[2 * r + 1, 0] += 10
-    for _, rows in parts.sort_values(["conv_id", "part"], kind="stable").groupby("conv_id", sort=True):
-        before = None
-        for role, text in zip(rows["role"], rows["text"], strict=True):
-            if role not in ROLES:
-                continue
-            lines = [read_line(x) for x in (text or "").split("\n")]
-            for i, s in enumerate(symbols(lines).tolist()):
-                state = 2 * ROLES.index(role) + (i > 0)
-                if before is None:
-                    first[state] += 1
-                else:
-                    ends[before, int(i == 0)] += 1
-                    if not i:
-                        nexts[before // 2, state // 2] += 1
-                kinds[state, s // FEATURES] += 1
-                shapes[state, s % FEATURES] += 1
-                before = state
+    named = {"first": first[:, None], "ends": ends, "nexts": nexts, "kinds": kinds, "shapes": shapes}
+    for (name, row, column), n in counts.items():
+        named[name][row, column] += n
     # a turn ends or goes on by its state; who speaks next is a matter of roles alone
     ends, nexts = ends / ends.sum(axis=1, keepdims=True), nexts / nexts.sum(axis=1, keepdims=True)
     step = np.zeros((STATES, STATES))
@@ -188,40 +199,41 @@ def _some(rows: Iterator[tuple], schema: pa.Schema, n: int = 2000) -> Iterator[p
 
 
 def _lines(block: list[tuple]) -> tuple[list[tuple[int, str, int]], list[int], np.ndarray]:
-    """Lines, their parts and their symbols of rows (conv, block, part, text, ...)."""
+    """Lines, their parts and their symbols of rows (conv, no_id, block, part, text, ...)."""
     lines, part, sym = [], [], []
     for row in block:
-        own = [read_line(x) for x in (row[3] or "").split("\n")]
+        own = [read_line(x) for x in (row[4] or "").split("\n")]
         lines += own
-        part += [row[2]] * len(own)
+        part += [row[3]] * len(own)
         sym.append(symbols(own))
     return lines, part, np.concatenate(sym)
 
 
-_MATRIX = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("matrix", pa.list_(pa.float64()))])
-_ENDS = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("last", pa.int32())])
+_MATRIX = pa.schema([("conv", pa.int64()), ("no_id", pa.bool_()), ("block", pa.int64()), ("matrix", pa.list_(pa.float64()))])
+_ENDS = pa.schema([("conv", pa.int64()), ("no_id", pa.bool_()), ("block", pa.int64()), ("entry", pa.int32()), ("last", pa.int32())])
+_COUNTS = pa.schema([("name", pa.string()), ("row", pa.int32()), ("column", pa.int32()), ("n", pa.int64())])
 _TURN = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("piece", pa.int32()), ("first_part", pa.int64()), ("last_part", pa.int64()), ("begins", pa.bool_()), ("role", pa.string()), ("text", pa.string())])
 _TURNS = "conv_id long, block long, piece int, first_part long, last_part long, begins boolean, role string, text string"
 
 
 @tidy
 def _summaries(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    yield from _some(((b[0][0], b[0][1], transfer(model, _lines(b)[2], b[0][5]).ravel().tolist()) for b in _groups(batches, 2)), _MATRIX)
+    yield from _some(((*b[0][:3], transfer(model, _lines(b)[2], b[0][5]).ravel().tolist()) for b in _groups(batches, 3)), _MATRIX)
 
 
 @tidy
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
-        for conv in _groups(batches, 1):
-            ends = join_blocks([np.array(m).reshape(STATES, STATES) for _, _, m in conv])
-            yield from ((c, b, -1 if entry is None else entry, last) for (c, b, _), (entry, last) in zip(conv, ends, strict=True))
+        for conv in _groups(batches, 2):
+            ends = join_blocks([np.array(m).reshape(STATES, STATES) for *_, m in conv])
+            yield from ((c, none, b, -1 if entry is None else entry, last) for (c, none, b, _), (entry, last) in zip(conv, ends, strict=True))
 
     yield from _some(rows(), _ENDS)
 
 
 def _turns(block: list[tuple], model: Model) -> Iterator[tuple]:
     lines, part, sym = _lines(block)
-    conv, number, _, _, no_id, _, entry, last = block[0]
+    conv, no_id, number, _, _, _, entry, last = block[0]
     states = viterbi(model, sym, None if entry < 0 else entry, last)
     starts = [i for i in range(len(states)) if not i or states[i] % 2 == 0]
     for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(states)], strict=True)):
@@ -232,7 +244,7 @@ def _turns(block: list[tuple], model: Model) -> Iterator[tuple]:
 
 @tidy
 def _decoded(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    yield from _some((turn for block in _groups(batches, 2) for turn in _turns(block, model)), _TURN)
+    yield from _some((turn for block in _groups(batches, 3) for turn in _turns(block, model)), _TURN)
 
 
 def parse(parts: DataFrame, model: Model) -> DataFrame:
@@ -244,15 +256,15 @@ def parse(parts: DataFrame, model: Model) -> DataFrame:
     """
     named = parts.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"), F.col("conv_id").isNull().alias("no_id"), F.coalesce(F.col("part").cast("long"), F.lit(-1)).alias("part"), "text")
     # blocks are stretches of part numbers, so that no order over a whole conversation is needed
-    rows = named.withColumn("block", F.floor(F.col("part") / PARTS) * 2 + F.col("no_id").cast("long")).withColumn("conv", F.when(F.col("no_id"), F.lit(-1)).otherwise(F.col("conv")))
+    rows = named.withColumn("block", F.floor(F.col("part") / PARTS))
     firsts = rows.groupBy("conv", "no_id").agg(F.min("block").alias("first_block"))
     rows = rows.join(firsts, ["conv", "no_id"]).withColumn("opening", F.col("block") == F.col("first_block")).drop("first_block")
-    columns = ["conv", "block", "part", "text", "no_id", "opening"]
-    together = lambda df, *more: df.select(*columns, *more).repartition("conv", "block").sortWithinPartitions("conv", "block", "part", "text")
+    columns = ["conv", "no_id", "block", "part", "text", "opening"]
+    together = lambda df, *more: df.select(*columns, *more).repartition("conv", "no_id", "block").sortWithinPartitions("conv", "no_id", "block", "part", "text")
     placed = materialize(rows.select(*columns), "chat-parts")
-    matrices = together(placed).mapInArrow(partial(_summaries, model=model), "conv long, block long, matrix array<double>")
-    ends = matrices.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(_joined, "conv long, block long, entry int, last int")
-    return together(placed.join(ends, ["conv", "block"]), "entry", "last").mapInArrow(partial(_decoded, model=model), _TURNS)
+    matrices = together(placed).mapInArrow(partial(_summaries, model=model), "conv long, no_id boolean, block long, matrix array<double>")
+    ends = matrices.repartition("conv", "no_id").sortWithinPartitions("conv", "no_id", "block").mapInArrow(_joined, "conv long, no_id boolean, block long, entry int, last int")
+    return together(placed.join(ends, ["conv", "no_id", "block"]), "entry", "last").mapInArrow(partial(_decoded, model=model), _TURNS)
 
 
 #: Marker styles for transcripts made from rows with roles: {role} and {Role}.
@@ -274,9 +286,27 @@ def transcripts(conversations: DataFrame, every: int = 6) -> DataFrame:
     return conversations.select("conv_id", F.col("turn").alias("part"), "role", F.concat(F.when(bare, F.lit("")).otherwise(marked), F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def fit_model(parts: DataFrame, conversations: int = FIT_CONVERSATIONS) -> Model:
-    """The tables, from a bounded sample of transcripts with roles."""
-    drawn = (
-        parts.where("conv_id is not null").groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") <= FIT_PARTS).orderBy(F.xxhash64("conv_id"), "conv_id").limit(conversations)
-    )
-    return fit(parts.join(F.broadcast(drawn.select("conv_id")), "conv_id").select("conv_id", "part", "role", "text").toPandas())
+@tidy
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = (((conv, block), opening, role, text) for b in batches for conv, block, opening, role, text in zip(*(c.to_pylist() for c in b.columns[:5]), strict=True))
+    yield _batch([(*key, n) for key, n in count(rows).items()], _COUNTS)
+
+
+def held_out(conv_id: Column) -> Column:
+    """Whether the tables are not counted on a conversation: a fifth of them, by the id's crc32."""
+    return F.coalesce(F.crc32(conv_id.cast("string")) % 5 == 0, F.lit(True))
+
+
+def fit_model(parts: DataFrame) -> Model:
+    """The tables, from all transcripts with roles (``conv_id, part, role, text``) that are not held out.
+
+    Lines are counted where they are, in stretches of :data:`PARTS` parts; the driver gets the summed tables,
+    whose size is fixed.  A turn is not followed from one stretch to the next.
+    """
+    rows = parts.where(~held_out(F.col("conv_id"))).select("conv_id", F.coalesce(F.col("part").cast("long"), F.lit(-1)).alias("part"), "role", "text")
+    rows = rows.withColumn("block", F.floor(F.col("part") / PARTS))
+    firsts = rows.groupBy("conv_id").agg(F.min("block").alias("first_block"))
+    rows = rows.join(firsts, "conv_id").select("conv_id", "block", (F.col("block") == F.col("first_block")).alias("opening"), "role", "text", "part")
+    rows = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", "text")
+    found = rows.mapInArrow(_counted, "name string, row int, column int, n long").groupBy("name", "row", "column").agg(F.sum("n").alias("n"))
+    return tables({(r["name"], r["row"], r["column"]): r["n"] for r in found.collect()})

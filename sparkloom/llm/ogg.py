@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, tidy
+from .common import materialize, text_slices, tidy
 
 #: Samples of a packet; payloads are padded to a positive multiple.
 PACKET = 576
@@ -152,11 +152,13 @@ def read_samples(data: bytes) -> tuple[bytes, int, list[float]]:
     """(payload, unpadded size, seconds at the end of each packet) of :func:`write_samples`."""
     sound = meta = None
     for packets, granules in demultiplex(data).values():
+        if not packets:
+            continue
         if packets[0].startswith(b"PCM8"):
             sound = packets, granules
         elif packets[0].startswith(b"META"):
             meta = packets
-    if sound is None or meta is None:
+    if sound is None or not meta or len(meta) < 2 or len(sound[0]) < 2:
         raise ValueError("a logical stream is missing")
     _, rate, packet = struct.unpack_from("<III", sound[0][0], 4)
     body = sound[0][1:]
@@ -193,27 +195,54 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(media, pa.large_binary()).cast(pa.binary())], names=["doc_id", "media"])
 
 
+_SAMPLES = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("packet_seconds", pa.list_(pa.float64())), ("error", pa.string())]
+)
+
+
+def _read_one(media: bytes | None) -> tuple:
+    if media is None:
+        return (*[None] * 8, "no media")
+    stored = len(media), hashlib.sha256(media).hexdigest()
+    try:
+        payload, n_bytes, times = read_samples(media)
+    except (ValueError, IndexError, struct.error) as damage:
+        return (*[None] * 4, *stored, None, None, str(damage) or "damaged")
+    return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, features(payload, times), times, None
+
+
 @tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple] = []
-        for raw in batch.column(1):
-            media = raw.as_py()
-            payload, n_bytes, times = read_samples(media)
-            out.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, times)))
-        cols = list(zip(*out, strict=True)) or [[]] * 7
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", *names])
+        for some in text_slices(batch):
+            cols = list(zip(*[_read_one(raw.as_py()) for raw in some.column(1)], strict=True)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, t in zip(cols, _SAMPLES.types[1:], strict=True))], schema=_SAMPLES)
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """``doc_id, media``: every whole text (null: empty) as an Ogg stream.  Other columns are not read."""
+    """``doc_id, media``: every whole text (null: empty) as an Ogg stream.
+
+    Other columns are not read; equal texts have equal streams, and repeated rows have one each.
+    """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_write, "doc_id long, media binary")
 
 
+def store_media(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The streams of :func:`to_media` written to a folder (default: a scratch table) and read again."""
+    media = to_media(docs)
+    if path is None:
+        return materialize(media, "media")
+    media.write.parquet(path)
+    return docs.sparkSession.read.schema(media.schema).parquet(path)
+
+
 def read_media(media: DataFrame) -> DataFrame:
-    """Sizes, digests and features of each ``media`` value, from its reassembled packets."""
+    """Sizes, digests, features and packet times of each ``media`` value, from its reassembled packets.
+
+    ``packet_seconds`` are the times at which packets end, derived from granule positions.  A null value, or a
+    damaged one (checksum, page number, cut page or packet, missing stream), has nulls and says so in ``error``.
+    """
     return media.select("doc_id", "media").mapInArrow(
-        _read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        _read,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, packet_seconds array<double>, error string",
     )

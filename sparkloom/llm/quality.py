@@ -26,6 +26,8 @@ FIT_DOCS = 3000
 #: Lines in a row that fitting takes of a longer labelled document; all documents are scored whole.
 FIT_LINES = 100
 THRESHOLD = 0.3
+#: Lines of a document that run one after the other.
+PIECE = 512
 
 _LETTER, _DIGIT, _SPACE, _STOP, _BAR, _MARK, _SHOUT, _OTHER = range(8)
 _CLASS = np.full(256, _OTHER, np.int64)
@@ -113,36 +115,100 @@ def average(good: np.ndarray, length: np.ndarray, lines: np.ndarray) -> np.ndarr
     return np.log(share / (1 - share))
 
 
-def marginals(unary: np.ndarray, stay: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of good for each line, expected [bad-bad, good-good] transitions of each line with its next).
+def _forward(unary: np.ndarray, stay: np.ndarray, first: np.ndarray, size: np.ndarray, entry: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward scores of pieces of lines, side by side; ``entry`` is what comes to a piece's first line.
 
-    All documents run side by side, the longest first, so each step handles those that still have lines.
-    ``unary`` scores good against bad; ``stay`` scores two bad or two good lines in a row.
+    Fills ``out`` (each line's two scores, the higher 0); returns a piece's last ones and what was taken off.
     """
-    n_docs = len(lines)
-    order = np.argsort(-lines, kind="stable")
-    first = (np.cumsum(lines) - lines)[order]
-    size = lines[order]
-    steps = int(size[0]) if n_docs else 0
-    alive = np.searchsorted(-size, -np.arange(steps), side="left")  # documents with more than t lines
-    forward, backward = np.zeros((len(unary), 2)), np.zeros((len(unary), 2))
+    order = np.argsort(-size, kind="stable")
+    steps = int(size[order[0]]) if len(size) else 0
+    alive = np.searchsorted(-size[order], -np.arange(steps), side="left")  # pieces with more than t lines
     sb, sg = stay
-    a = np.zeros((n_docs, 2))
+    a, scale, last = entry[order], np.zeros(len(size)), np.zeros((len(size), 2))
     for t in range(steps):
         k = alive[t]
-        at = first[:k] + t
+        at = first[order[:k]] + t
         if t:
-            b, g = a[:k, 0], a[:k, 1]
-            a = np.stack([np.logaddexp(b + sb, g), np.logaddexp(b, g + sg)], axis=1)
+            x, y = a[:k, 0], a[:k, 1]
+            a = np.stack([np.logaddexp(x + sb, y), np.logaddexp(x, y + sg)], axis=1)
         a = a[:k] + np.stack([np.zeros(k), unary[at]], axis=1)
-        a -= a.max(axis=1, keepdims=True)
-        forward[at] = a
+        top = a.max(axis=1)
+        a -= top[:, None]
+        scale[order[:k]] += top
+        out[at] = last[order[:k]] = a
+    return last, scale
+
+
+def _backward(unary: np.ndarray, stay: np.ndarray, first: np.ndarray, size: np.ndarray, exit_: np.ndarray, out: np.ndarray) -> None:
+    """Backward scores of pieces; ``exit_`` is what comes to a piece's last line from beyond it."""
+    order = np.argsort(-size, kind="stable")
+    steps = int(size[order[0]]) if len(size) else 0
+    alive = np.searchsorted(-size[order], -np.arange(steps), side="left")
+    sb, sg = stay
+    out[first + size - 1] = exit_
     for t in range(steps - 2, -1, -1):
-        k = alive[t + 1]
-        at = first[:k] + t
-        nb, ng = backward[at + 1, 0], backward[at + 1, 1] + unary[at + 1]
+        at = first[order[: alive[t + 1]]] + t
+        nb, ng = out[at + 1, 0], out[at + 1, 1] + unary[at + 1]
         v = np.stack([np.logaddexp(nb + sb, ng), np.logaddexp(nb, ng + sg)], axis=1)
-        backward[at] = v - v.max(axis=1, keepdims=True)
+        out[at] = v - v.max(axis=1, keepdims=True)
+
+
+def _ends(unary: np.ndarray, stay: np.ndarray, lines: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What comes to the first and to the last line of each piece of documents with several.
+
+    A piece takes the scores before it to those of its last line by a matrix of 2 x 2, found for all pieces
+    side by side; the matrices of a document are joined in order, forwards and backwards.
+    """
+    n, spare = len(first), np.zeros((len(unary), 2))
+    matrix = np.zeros((n, 2, 2))
+    for e, row in enumerate(([stay[0], 0.0], [0.0, stay[1]])):
+        last, scale = _forward(unary, stay, first, size, np.where(opens[:, None], 0.0, np.array(row)), spare)
+        matrix[:, e] = last + scale[:, None]
+    entry, exit_ = np.zeros((n, 2)), np.zeros((n, 2))
+    sb, sg = stay
+    of_doc = np.flatnonzero(opens)
+    pieces = np.diff(np.append(of_doc, n))
+    state = np.zeros((len(of_doc), 2))
+    for k in range(int(pieces.max(initial=0))):
+        on = np.flatnonzero(pieces > k)
+        at = of_doc[on] + k
+        if k:
+            x, y = state[on, 0], state[on, 1]
+            entry[at] = np.stack([np.logaddexp(x + sb, y), np.logaddexp(x, y + sg)], axis=1)
+            new = np.logaddexp(x[:, None] + matrix[at, 0], y[:, None] + matrix[at, 1])
+        else:
+            new = matrix[at, 0]
+        state[on] = new - new.max(axis=1, keepdims=True)
+    state = np.zeros((len(of_doc), 2))
+    for k in range(int(pieces.max(initial=0)) - 1, 0, -1):
+        on = np.flatnonzero(pieces > k)
+        at = of_doc[on] + k
+        exit_[at] = state[on]
+        new = np.logaddexp(matrix[at, :, 0] + state[on, 0][:, None], matrix[at, :, 1] + state[on, 1][:, None])
+        state[on] = new - new.max(axis=1, keepdims=True)
+    exit_[of_doc] = state
+    return entry, exit_
+
+
+def marginals(unary: np.ndarray, stay: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of good for each line, expected [bad-bad, good-good] transitions of each line with its next).
+
+    Documents run side by side, and so do pieces of :data:`PIECE` lines of longer ones, so a text of very many
+    lines takes few steps.  ``unary`` scores good against bad; ``stay`` scores two bad or two good lines in a row.
+    """
+    first = np.cumsum(lines) - lines
+    parts = -(-lines // PIECE)
+    sb, sg = stay
+    if len(parts) and parts.max() > 1:
+        number = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = np.repeat(first, parts) + number * PIECE
+        size = np.minimum(np.repeat(first + lines, parts) - begin, PIECE)
+        entry, exit_ = _ends(unary, stay, lines, begin, size, number == 0)
+    else:
+        begin, size, entry, exit_ = first, lines, np.zeros((len(lines), 2)), np.zeros((len(lines), 2))
+    forward, backward = np.zeros((len(unary), 2)), np.zeros((len(unary), 2))
+    _forward(unary, stay, begin, size, entry, forward)
+    _backward(unary, stay, begin, size, exit_, backward)
     both = forward + backward
     good = _sigmoid(both[:, 1] - both[:, 0])
     pairs = np.zeros((len(unary), 2))
@@ -227,7 +293,8 @@ def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> F
     """
     known = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    # of rows that repeat a drawn id one text counts, so the driver's share stays bounded
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     with small_batches(docs.sparkSession):
         rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(_sample, "doc_id long, quality int, features binary, length binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["features"]))
@@ -265,6 +332,10 @@ def keep_good(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> Da
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row of ``docs``."""
+    """``doc_id, held_out, score, predicted`` of every row of ``docs``.
+
+    A row without an id is not held out.  A null or empty text is scored as one empty line; repeated rows
+    and ties are scored each, the same.  An empty table has no rows.
+    """
     scored = score_documents(docs, fit_field(docs, labels))
-    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

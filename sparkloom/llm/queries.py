@@ -29,7 +29,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ogg media column of ``documents``, read back."""
-    return ogg.read_media(ogg.to_media(table(spark, sf_dir, "documents")))
+    return ogg.read_media(ogg.store_media(table(spark, sf_dir, "documents")))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

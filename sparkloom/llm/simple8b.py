@@ -230,37 +230,46 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, path: s
     path = path or scratch_path(spark, "token-ids")
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
+        .repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
     ordered.mapInArrow(partial(_to_records, path=vocabulary, end_id=end_id, record_ids=record_ids), _FILE).write.option("compression", "none").parquet(path)
     return path
 
 
+_READ = ["part_id", "in_part", "doc_id", "n_tokens", "ids_crc32", "error"]
+
+
 @tidy
 def _from_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, begin, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            doc_ids, lengths, ids = read_record(raw.as_py())
+            try:
+                doc_ids, lengths, ids = read_record(raw.as_py())
+            except (ValueError, IndexError, struct.error) as damage:
+                none = [pa.nulls(1, pa.int64())] * 4
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *none, pa.array([str(damage) or "damaged"])], names=_READ)
+                continue
             body = memoryview(ids.astype("<u4")).cast("B")
             ends = np.cumsum(lengths)
             starts = ends - lengths
             crc = [zlib.crc32(body[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(doc_ids), pa.int32()), pa.array(begin + starts, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())],
-                names=["part_id", "in_part", "doc_id", "n_tokens", "ids_crc32"],
+                [pa.array([part] * len(doc_ids), pa.int32()), pa.array(begin + starts, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64()), pa.nulls(len(doc_ids), pa.string())],
+                names=_READ,
             )
 
 
 def read_token_files(spark, path: str) -> DataFrame:
-    """What the files hold of each document: ``doc_id, start, n_tokens, ids_crc32``.
+    """What the files hold of each document: ``doc_id, start, n_tokens, ids_crc32, error``.
 
     ``start`` counts the ids of all documents before it.  The parts' sizes (one row a file part) are
-    summed in order; documents are never brought together.
+    summed in order; documents are never brought together.  A damaged record has one row, with its ``error`` alone;
+    the places of other documents do not change.
     """
     files = spark.read.schema(_FILE).parquet(path)
     parts = files.groupBy("part_id").agg(F.sum("n_ids").alias("ids"))
     order = Window.orderBy("part_id").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("part_id", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("base"))
-    docs = files.select("part_id", "part_start", "payload").mapInArrow(_from_records, "part_id int, in_part long, doc_id long, n_tokens long, ids_crc32 long")
-    return docs.join(base, "part_id").select("doc_id", (F.col("base") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32")
+    docs = files.select("part_id", "part_start", "payload").mapInArrow(_from_records, "part_id int, in_part long, doc_id long, n_tokens long, ids_crc32 long, error string")
+    return docs.join(base, "part_id").select("doc_id", (F.col("base") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32", "error")

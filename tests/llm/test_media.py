@@ -69,3 +69,14 @@ def test_media_column(docs, no_docs):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
     assert {c: got[1][c] for c in ("media_sha256", "feature")} == {c: got[2][c] for c in ("media_sha256", "feature")}
     assert ogg.read_media(ogg.to_media(no_docs)).count() == 0
+
+
+def test_null_and_damaged_media(spark):
+    good = ogg.write_samples(ogg.padded(b"some text of it" * 90), 1350)
+    cut, wrong, none = good[:-5], good[:60] + b"?" + good[61:], b""
+    rows = [(1, good), (2, None), (3, cut), (4, wrong), (5, none), (6, b"OggS"), (7, good)]
+    got = {r["doc_id"]: r for r in ogg.read_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1]["error"] is None and got[1]["n_bytes"] == 1350 and got[7]["payload_sha256"] == got[1]["payload_sha256"]
+    assert got[1]["packet_seconds"] == [k * ogg.PACKET / ogg.RATE for k in range(1, 4)]
+    for d in (2, 3, 4, 5, 6):
+        assert got[d]["error"] and got[d]["n_bytes"] is None and got[d]["feature"] is None

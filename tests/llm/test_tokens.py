@@ -171,3 +171,17 @@ def test_attribution_equals_brute_force():
             b = max(b, a + 1)
             share = [max(0, min(e, b) - max(s, a)) for s, e in cuts.tolist()]
             assert o == (share.index(max(share)) if max(share) else -1) and c == (0 < max(share) < b - a)
+
+
+def test_a_damaged_record_is_one_row(spark, docs):
+    from pyspark.sql import functions as F
+
+    path = simple8b.write_token_files(docs, vocabulary_path("byte_bpe_50k.json"), record_ids=64)
+    files = spark.read.parquet(path)
+    first = files.orderBy("part_id", "part_start").first()
+    hurt = F.when((F.col("part_id") == first["part_id"]) & (F.col("part_start") == first["part_start"]), F.substring("payload", 1, 40)).otherwise(F.col("payload"))
+    files.withColumn("payload", hurt).write.parquet(f"{path}-hurt")
+    whole = {r["doc_id"]: r for r in simple8b.read_token_files(spark, path).collect()}
+    got = simple8b.read_token_files(spark, f"{path}-hurt").collect()
+    assert sum(r["error"] is not None for r in got) == 1
+    assert all(whole[r["doc_id"]]["start"] == r["start"] for r in got if r["error"] is None and r["doc_id"] != 9)

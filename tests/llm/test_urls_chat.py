@@ -151,12 +151,14 @@ def test_roles_are_recovered(conversations):
     truth = {(r["conv_id"], r["part"]): r["role"] for r in parts.collect()}
     right = sum(truth[r["conv_id"], r["first_part"]] == r["role"] for r in got)
     assert right / len(got) > 0.95 and len(got) > 0.9 * len(truth)
+    kept_out = [r for r in got if zlib.crc32(str(r["conv_id"]).encode()) % 5 == 0]
+    assert kept_out and sum(truth[r["conv_id"], r["first_part"]] == r["role"] for r in kept_out) / len(kept_out) > 0.9
     assert all(r["text"].startswith(f"<|{r['role']}|>\n") and r["text"].endswith("\n<|end|>") for r in got)
 
 
 def test_blocks_decode_like_the_whole(spark, conversations, monkeypatch):
     rng = np.random.default_rng(0)
-    model = chat.fit(chat.transcripts(conversations).toPandas())
+    model = chat.fit_model(chat.transcripts(conversations))
     sym = rng.integers(0, chat.SYMBOLS, 200)
     whole = chat.viterbi(model, sym, None, None)
     cuts = [0, 1, 50, 51, 130, 200]
@@ -171,6 +173,28 @@ def test_blocks_decode_like_the_whole(spark, conversations, monkeypatch):
     assert np.isclose(score(whole), score(got))
 
 
+def test_viterbi_is_the_best_of_all(conversations):
+    model = chat.fit_model(chat.transcripts(conversations))
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 4):
+        sym = rng.integers(0, chat.SYMBOLS, n)
+
+        def score(states, sym=sym):
+            return model.first[states[0]] + sum(model.emit[s, x] for s, x in zip(states, sym, strict=True)) + sum(model.step[a, b] for a, b in itertools.pairwise(states))
+
+        best = max(map(score, itertools.product(range(chat.STATES), repeat=n)))
+        assert np.isclose(score(chat.viterbi(model, sym, None, None).tolist()), best)
+
+
+def test_conversation_minus_one_and_rows_without_id(spark, conversations):
+    model = chat.fit_model(chat.transcripts(conversations))
+    rows = [(c, t, f"{['User', 'Assistant'][(t + (c is None)) % 2]}: x {t}") for c in (-1, 0, None) for t in range(200)]
+    got = chat.parse(spark.createDataFrame(rows, "conv_id long, part long, text string"), model).collect()
+    for c in (-1, 0, None):
+        own = sorted((r["first_part"], r["role"]) for r in got if r["conv_id"] == c)
+        assert own == [(t, ["user", "assistant"][(t + (c is None)) % 2]) for t in range(200)]
+
+
 def test_one_long_conversation(spark, conversations, monkeypatch):
     monkeypatch.setattr(chat, "PARTS", 4)
     rows = [(1, t, ["user", "assistant"][t % 2], f"User: question {t}?" if t % 2 == 0 else f"Assistant: answer {t}.") for t in range(50)]
@@ -187,7 +211,7 @@ def test_odd_rows(spark, conversations):
     assert {r["conv_id"] for r in got} == {1, 2, 3, 4, None}
     assert {r["role"] for r in got if r["conv_id"] is None} == {"user", "assistant"}
     assert chat.parse(parts.limit(0), model).count() == 0
-    empty = chat.fit(parts.limit(0).withColumn("role", chat.F.lit("user")).toPandas())
+    empty = chat.fit_model(parts.limit(0).withColumn("role", chat.F.lit("user")))
     assert np.isfinite(empty.emit).all()
 
 
