@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.llm import mixing, near_dup, packing, quality
 from sparkloom.llm.common import drop_scratch, materialize, scratch_scope, table
@@ -32,8 +34,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix packed into sequences of 2048 tokens; one row a piece."""
-    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"), end_id=1)
+    """The mix packed into sequences of 2048 tokens; one row a piece.
+
+    Queues keep the order of the mix, that of its files and of the rows in them; a table that is not read
+    from files is taken by doc_id.
+    """
+    try:
+        docs.select("_metadata.row_index")
+        order = [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1), F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    except AnalysisException:
+        order = None
+    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"), end_id=1, order=order)
 
 
 STAGES: list[tuple[str, Stage]] = [
