@@ -13,9 +13,9 @@ and window ``k`` ends where ``F(v) = (k + 1) window``.  So each document finds i
 queue's total and the few points where a queue runs dry; nothing is handed from task to task.
 
 Queues that no target names form one class that shares the class's weight by size, hence they run dry
-together: there are as many such points as named targets, however many sources.  The pieces are then
-sorted by window and queue, running sums give their places, and the windows, end to end, are cut into
-sequences; only the very last sequence needs padding.
+together: there are as many such points as named targets, however many sources.  What each window takes of
+each queue is summed, running sums over windows and queues give the places, and the windows, end to end,
+are cut into sequences; only the very last sequence needs padding.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ WINDOW = 64 * SEQUENCE
 CACHE_CHUNKS = 1_500_000
 
 _IDS = "part_id int, source string, doc_id long, n long, in_part long, ids binary"
-_SPANS = "source string, doc_id long, start long, length long, doc_tokens long, window long, at long, ids binary"
+_SPANS = "source string, doc_id long, start long, length long, doc_tokens long, window long, at long"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -118,15 +118,16 @@ class Rounds:
 
 @tidy
 def _windows(batches: Iterator[pa.RecordBatch], rounds: Rounds, size: int) -> Iterator[pa.RecordBatch]:
-    """Documents cut where a window ends."""
+    """Documents cut where a window ends; their ids, the last column if there, are cut along."""
     types = [pa.string(), *[pa.int64()] * 6, pa.binary()]
-    names = [c.split()[0] for c in _SPANS.split(", ")]
+    names = [*[c.split()[0] for c in _SPANS.split(", ")], "ids"]
     seen: dict[str | None, tuple[int, int, int]] = {}  # of a queue: its last window and the tokens it begins and ends at
     for batch in batches:
         out: list[tuple] = []
         sources, named, totals, docs, starts, counts = (batch.column(i).to_pylist() for i in range(6))
-        for source, own, total, doc_id, at, n, raw in zip(sources, named, totals, docs, starts, counts, batch.column(6), strict=True):
-            ids, cls = raw.as_py(), source if own else REST
+        bodies = batch.column(6) if batch.num_columns > 6 else [None] * batch.num_rows
+        for source, own, total, doc_id, at, n, raw in zip(sources, named, totals, docs, starts, counts, bodies, strict=True):
+            ids, cls = raw.as_py() if raw is not None else b"", source if own else REST
             window, begin, end = seen.get(source, (-1, 0, -1))
             if begin <= at and at + n <= end:
                 spans = [(at, n, window)]
@@ -140,7 +141,8 @@ def _windows(batches: Iterator[pa.RecordBatch], rounds: Rounds, size: int) -> It
                 b = a - at
                 out.append((source, doc_id, b, length, n, w, a, ids[b * size : (b + length) * size]))
         cols = list(zip(*out, strict=True)) or [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        k = len(names) if batch.num_columns > 6 else len(names) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:k], types[:k], strict=True)], names=names[:k])
 
 
 @tidy
@@ -228,8 +230,10 @@ def pack(
         rounds = Rounds(classes, window)
         placed = ids.alias("i").join(base.alias("b"), (F.col("i.part_id") == F.col("b.part_id")) & F.col("i.source").eqNullSafe(F.col("b.source")))
         rows = placed.select("i.source", "named", "total", "doc_id", (F.col("base") + F.col("in_part")).alias("at"), "n", "ids")
-        # running() samples its input, so the cut pieces are written first
-        cut = materialize(rows.mapInArrow(partial(_windows, rounds=rounds, size=size), _SPANS), "packing-windows")
-        in_order = [F.col("window").asc(), F.col("source").asc_nulls_last(), F.col("at").asc()]
-        stream = running(cut, in_order, {"place": F.col("length")}, "packing-places")
+        cut = partial(_windows, rounds=rounds, size=size)
+        # what each window takes of each queue, and where that begins in the stream
+        takes = rows.drop("ids").mapInArrow(cut, _SPANS).groupBy("window", "source").agg(F.sum("length").alias("length"), F.min("at").alias("begin"))
+        takes = running(materialize(takes, "packing-takes"), [F.col("window").asc(), F.col("source").asc_nulls_last()], {"place": F.col("length")}, "packing-places")
+    pieces = rows.mapInArrow(cut, f"{_SPANS}, ids binary").alias("p").join(takes.alias("t"), (F.col("p.window") == F.col("t.window")) & F.col("p.source").eqNullSafe(F.col("t.source")))
+    stream = pieces.select("doc_id", "start", "doc_tokens", (F.col("place") + F.col("at") - F.col("begin")).alias("place"), "ids")
     return stream.select("doc_id", "start", "doc_tokens", "place", "ids").mapInArrow(partial(_sequences, dtype=dtype, sequence=sequence), _PIECES)
