@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 def chunk_1d(field: DataFrame, size: int, drop_tail: bool = False, total: int | None = None) -> DataFrame:
     """Adds ``chunk_id, pos``.  The last chunk may be short; ``drop_tail`` (needs ``total``) leaves it out."""
-    out = field.withColumns({"chunk_id": F.floor(F.col("idx") / size).cast("long"), "pos": F.pmod("idx", F.lit(size)).cast("int")})
+    out = field.withColumns({"chunk_id": whole(F.col("idx"), size), "pos": F.pmod("idx", F.lit(size)).cast("int")})
     return out.where(F.col("chunk_id") < total // size) if drop_tail and total is not None else out
 
 
@@ -24,9 +24,14 @@ def chunk_counts(dims: Sequence[int], chunk: Sequence[int]) -> list[int]:
     return [-(-d // c) for d, c in zip(dims, chunk, strict=True)]
 
 
+def whole(idx: Column, size) -> Column:
+    """``idx div size`` in whole numbers, exact beyond 2^53."""
+    return F.call_function("div", idx.cast("long"), F.lit(size).cast("long"))
+
+
 def coordinates(idx: Column, dims: Sequence[int]) -> list[Column]:
     """N-D coordinates of a linear index, last dimension fastest."""
-    return [F.pmod(F.floor(idx / prod(dims[k + 1 :])), F.lit(d)).cast("long") for k, d in enumerate(dims)]
+    return [F.pmod(whole(idx, prod(dims[k + 1 :])), F.lit(d)).cast("long") for k, d in enumerate(dims)]
 
 
 def linear(coords: Sequence[Column], dims: Sequence[int]) -> Column:
@@ -44,7 +49,7 @@ def gather(field: DataFrame, dims: Sequence[int], chunk: Sequence[int]) -> DataF
     """
     at = coordinates(F.col("idx"), dims)
     grid = chunk_counts(dims, chunk)
-    of = [F.floor(c / s).cast("long") for c, s in zip(at, chunk, strict=True)]
+    of = [whole(c, s) for c, s in zip(at, chunk, strict=True)]
     pos = F.lit(0).cast("long")
     for c, o, s, d in zip(at, of, chunk, dims, strict=True):
         pos = pos * F.least(F.lit(s), d - o * s) + (c - o * s)
@@ -59,7 +64,7 @@ def scatter(chunks: DataFrame, dims: Sequence[int], chunk: Sequence[int]) -> Dat
     rest, inner = F.col("pos"), []
     for size in reversed(sizes):
         inner.append(F.pmod(rest, size))
-        rest = F.floor(rest / size).cast("long")
+        rest = whole(rest, size)
     inner.reverse()
     return chunks.withColumn("idx", linear([o * s + i for o, s, i in zip(of, chunk, inner, strict=True)], dims))
 
@@ -76,7 +81,7 @@ def is_contiguous(dims: Sequence[int], chunk: Sequence[int]) -> bool:
 
 def sub_chunk(pos: Column, element_bytes: int, sub_bytes: int) -> Column:
     """Number of the sub-chunk (256 KiB for shuffles, 64 KiB for codecs) that an element lies in."""
-    return F.floor(pos * element_bytes / sub_bytes).cast("long")
+    return whole(pos * element_bytes, sub_bytes)
 
 
 def concat_and_pad(tensors: DataFrame, total: int) -> DataFrame:
@@ -115,15 +120,3 @@ def periodic_neighbours(field: DataFrame, dims: Sequence[int]) -> DataFrame:
             targets.append(linear(moved, dims))
     sent = field.select(F.explode(F.array(*targets)).alias("idx"), F.col("value").alias("from_"))
     return field.join(sent.groupBy("idx").agg(F.sum("from_").alias("neighbours")), "idx")
-
-
-def gray_scott_step(u: DataFrame, dims: Sequence[int], du: float = 0.2, dv: float = 0.1, feed: float = 0.03, kill: float = 0.06, dt: float = 1.0) -> DataFrame:
-    """One Euler step of the two-species reaction-diffusion grid ``idx, u, v`` (6-point Laplacian over 6)."""
-    nu = periodic_neighbours(u.select("idx", F.col("u").alias("value")), dims).select("idx", F.col("neighbours").alias("nu"))
-    nv = periodic_neighbours(u.select("idx", F.col("v").alias("value")), dims).select("idx", F.col("neighbours").alias("nv"))
-    n = 2.0 * len(dims)
-    lap_u, lap_v = F.col("nu") / n - F.col("u"), F.col("nv") / n - F.col("v")
-    react = F.col("u") * F.col("v") * F.col("v")
-    return u.join(nu, "idx").join(nv, "idx").select(
-        "idx", (F.col("u") + dt * (du * lap_u - react + feed * (1 - F.col("u")))).alias("u"), (F.col("v") + dt * (dv * lap_v + react - (feed + kill) * F.col("v"))).alias("v")
-    )

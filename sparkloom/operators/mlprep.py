@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,14 +47,20 @@ def hash_fold(key: str, folds: int = 5, seed: int = 7) -> Column:
     return _hash(key, seed, folds).cast("int")
 
 
-def shuffled_split(rows: DataFrame, key: str, fraction: float = 0.2, seed: int = 42, most: int = 1_000_000) -> DataFrame:
-    """Adds ``train``: the exact legacy-generator shuffle of the sorted keys (at most ``most``, on the driver)."""
-    keys = [r[0] for r in rows.select(key).distinct().orderBy(key).limit(most + 1).collect()]
-    if len(keys) > most:
-        raise ValueError("too many groups for a split on the driver; use hash_split")
-    np.random.RandomState(seed).shuffle(keys)
-    held = rows.sparkSession.createDataFrame([(k,) for k in keys[: max(1, int(len(keys) * fraction))]], rows.select(key).schema).withColumn("held_", F.lit(True))
-    return rows.join(F.broadcast(held) if len(keys) < 100_000 else held, key, "left").withColumn("train", F.col("held_").isNull()).drop("held_")
+def shuffled_split(rows: DataFrame, key: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds ``train``: the exact legacy-generator shuffle of the sorted keys, of which the first ``fraction`` are held out.
+
+    Keys stay in Spark under their number; only the shuffled numbers (8 bytes a key) come from the driver.
+    """
+    from .ordering import dense_number
+
+    spark = rows.sparkSession
+    numbered = dense_number(rows.select(key).distinct(), [key], "number_")
+    order = np.arange(numbered.count())
+    np.random.RandomState(seed).shuffle(order)
+    held = spark.createDataFrame(pd.DataFrame({"held_": order[: max(1, int(len(order) * fraction))] + 1}), "held_ long")
+    names = numbered.join(held, numbered["number_"] == held["held_"], "left").select(key, F.col("held_").isNull().alias("train"))
+    return join_null_safe(rows, names, [key])
 
 
 def train_statistics(rows: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
@@ -72,10 +79,17 @@ def standardise(rows: DataFrame, columns: Sequence[str], train: Column) -> DataF
     return rows.crossJoin(s).withColumns({f"{c}_z": (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in columns}).select(*rows.columns, *[f"{c}_z" for c in columns])
 
 
+def join_null_safe(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join by ``keys``, of which nulls are equal; one of each key column stays."""
+    named = other.withColumnsRenamed({k: f"{k}_other_" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"{k}_other_")) for k in keys]
+    return rows.join(named, on, "left").drop(*[f"{k}_other_" for k in keys])
+
+
 def impute_zero(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Zeros (and less) become the group's median of the positive values."""
+    """Zeros (and less) become the group's median of the positive values; null keys are a group as others are."""
     med = rows.groupBy(*keys).agg(F.percentile(F.when(F.col(value) > 0, F.col(value)), 0.5).alias("med_"))
-    return rows.join(med, list(keys)).withColumn(value, F.when(F.col(value) > 0, F.col(value)).otherwise(F.col("med_"))).drop("med_")
+    return join_null_safe(rows, med, keys).withColumn(value, F.when(F.col(value) > 0, F.col(value)).otherwise(F.col("med_"))).drop("med_")
 
 
 def group_ids(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -86,7 +100,7 @@ def group_ids(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     from .ordering import dense_number
 
     numbered = dense_number(rows.select(*keys).distinct(), list(keys), "group_id")
-    return rows.join(numbered, list(keys))
+    return join_null_safe(rows, numbered, keys)
 
 
 def size_interactions(rows: DataFrame) -> DataFrame:
@@ -101,16 +115,6 @@ def fold_grid(rows: DataFrame, fold: Column, folds: int, grid: DataFrame) -> Dat
     return rows.withColumn("fold", fold).crossJoin(F.broadcast(cells)).withColumn("is_train", F.col("fold") != F.col("held_fold"))
 
 
-def boosted_trees(rows: DataFrame, features: Sequence[str], target: str, train: Column, **options):
-    """Gradient-boosted regression trees for one output; returns (model, rows with ``prediction``)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    ready = VectorAssembler(inputCols=list(features), outputCol="features_").transform(rows.withColumn("train_", train))
-    model = GBTRegressor(featuresCol="features_", labelCol=target, seed=42, **options).fit(ready.where("train_"))
-    return model, model.transform(ready).drop("features_", "train_")
-
-
 def mean_abs_by_group(rows: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
     """``feature, importance``: mean absolute attribution, one-hot columns added up under one name."""
     sums = rows.agg(*[sum((F.avg(F.abs(F.col(c))) for c in cols), F.lit(0.0)).alias(name) for name, cols in groups.items()])

@@ -1,7 +1,8 @@
 """Chunk statistics: one pass of partial aggregates, byte entropy, deviation and second difference.
 
-All take a chunked field ``field_id, chunk_id, pos, value``.  NaN is left out of minimum and maximum and
-of nothing else.  Sums are doubles of float values.
+All take a chunked field ``field_id, chunk_id, pos, value``.  A null value is no element: it is left out of
+everything, and a chunk of nulls alone has no row.  NaN is left out of minimum and maximum and of nothing
+else; a chunk of NaN alone has neither.  Rows without chunk_id are a chunk of their own.  Sums are doubles.
 """
 
 from __future__ import annotations
@@ -19,31 +20,35 @@ from ..functions.scalar import float_word, word_bytes
 KEYS = ["field_id", "chunk_id"]
 
 
+def _elements(chunks: DataFrame) -> DataFrame:
+    return chunks.where(F.col("value").isNotNull())
+
+
 def basic(chunks: DataFrame) -> DataFrame:
     """``n, sum, min, max, range, mean`` of each chunk."""
     v, seen = F.col("value").cast("double"), F.when(~F.isnan("value"), F.col("value")).cast("double")
-    out = chunks.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum(v).alias("sum"), F.min(seen).alias("min"), F.max(seen).alias("max"))
+    out = _elements(chunks).groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum(v).alias("sum"), F.min(seen).alias("min"), F.max(seen).alias("max"))
     return out.withColumns({"range": F.col("max") - F.col("min"), "mean": F.col("sum") / F.col("n")})
 
 
 def mean_abs_deviation(chunks: DataFrame) -> DataFrame:
     """``mad``: mean of ``|x - mean|``, not divided by the range."""
     v = F.col("value").cast("double")
-    centred = chunks.withColumn("dev", F.abs(v - F.avg(v).over(Window.partitionBy(*KEYS))))
+    centred = _elements(chunks).withColumn("dev", F.abs(v - F.avg(v).over(Window.partitionBy(*KEYS))))
     return centred.groupBy(*KEYS).agg((F.sum("dev") / F.count("*")).alias("mad"))
 
 
 def second_difference(chunks: DataFrame) -> DataFrame:
     """``deriv``: mean of ``|x[i+1] - 2 x[i] + x[i-1]|`` over the inner elements; 0 for fewer than three."""
     v, w = F.col("value").cast("double"), Window.partitionBy(*KEYS).orderBy("pos")
-    d2 = chunks.withColumn("d2", F.abs(F.lead(v).over(w) - 2 * v + F.lag(v).over(w)))
+    d2 = _elements(chunks).withColumn("d2", F.abs(F.lead(v).over(w) - 2 * v + F.lag(v).over(w)))
     n = F.count("*")
     return d2.groupBy(*KEYS).agg(F.when(n > 2, F.sum("d2") / (n - 2)).otherwise(F.lit(0.0)).alias("deriv"))
 
 
 def byte_histogram(chunks: DataFrame) -> DataFrame:
     """``byte, count`` of each chunk's raw float bytes."""
-    return chunks.select(*KEYS, F.explode(word_bytes(float_word(F.col("value")))).alias("byte")).groupBy(*KEYS, "byte").agg(F.count("*").alias("count"))
+    return _elements(chunks).select(*KEYS, F.explode(word_bytes(float_word(F.col("value")))).alias("byte")).groupBy(*KEYS, "byte").agg(F.count("*").alias("count"))
 
 
 def entropy_of(hist: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,21 +76,21 @@ def features(chunks: DataFrame) -> DataFrame:
 
     The relational forms above give the same values; this one moves each value once.
     """
-    placed = chunks.select(*KEYS, "pos", F.col("value").cast("float").alias("value")).repartition(*KEYS).sortWithinPartitions(*KEYS, "pos")
+    placed = _elements(chunks).select(*KEYS, "pos", F.col("value").cast("float").alias("value")).repartition(*KEYS).sortWithinPartitions(*KEYS, "pos")
     return placed.mapInArrow(_features, "field_id string, chunk_id long, n long, sum double, min double, max double, range double, mad double, deriv double, entropy double")
 
 
 _COLUMNS = ["field_id", "chunk_id", "n", "sum", "min", "max", "range", "mad", "deriv", "entropy"]
 
 
-def chunk_stats(x: np.ndarray) -> tuple[float, ...]:
+def chunk_stats(x: np.ndarray) -> tuple[float | None, ...]:
     """(sum, min, max, range, mad, deriv, entropy) of one chunk of floats."""
     v = x.astype(np.float64)
     seen = v[~np.isnan(v)]
-    low, high = (float(seen.min()), float(seen.max())) if len(seen) else (float("nan"),) * 2
+    low, high = (float(seen.min()), float(seen.max())) if len(seen) else (None, None)
     mad = float(np.abs(v - v.mean()).mean()) if len(v) else 0.0
     deriv = float(np.abs(v[2:] - 2 * v[1:-1] + v[:-2]).sum() / (len(v) - 2)) if len(v) > 2 else 0.0
-    return float(v.sum()), low, high, high - low, mad, deriv, entropy_bytes(x.tobytes())
+    return float(v.sum()), low, high, None if low is None else high - low, mad, deriv, entropy_bytes(x.tobytes())
 
 
 def entropy_bytes(raw: bytes) -> float:
@@ -101,13 +106,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row() -> tuple:
         x = np.concatenate(held)
-        return (*name, len(x), *chunk_stats(x))
+        return (name[0], None if name[1] == -(1 << 63) else int(name[1]), len(x), *chunk_stats(x))
 
     for batch in batches:
         if not batch.num_rows:
             continue
         out: list[tuple] = []
-        ids, chunk, value = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+        ids, chunk, value = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).fill_null(-(1 << 63)).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
         cut = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (ids[1:] != ids[:-1])) + 1).tolist(), len(chunk)]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             if name != (ids[a], chunk[a]):

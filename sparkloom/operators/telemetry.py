@@ -205,10 +205,24 @@ def totals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return s.withColumns({"ratio": F.when(F.col("file_mib") > 0, F.col("orig_mib") / F.col("file_mib")), "write_mibps": F.when(F.col("write_ms") > 0, F.col("orig_mib") * 1000 / F.col("write_ms"))})
 
 
+# fixed values: bounds of a ratio in models of storing time
+RATIO_LOW, RATIO_HIGH = 1e-3, 100.0
+
+
+def clipped_ratio(ratio: Column) -> Column:
+    return F.greatest(F.lit(RATIO_LOW), F.least(F.lit(RATIO_HIGH), ratio))
+
+
 def best_static(trace: DataFrame, label: str = "comp_lib", bandwidth: float = 300_000.0) -> DataFrame:
-    """The one configuration with the least mean of compression and storing time."""
-    per = trace.groupBy("action64", label).agg(F.avg(F.col("real_comp_ms") + F.col("chunk_bytes") / (F.col("real_ratio") * bandwidth)).alias("mean_ms"))
-    return per.orderBy("mean_ms", "action64").limit(1)
+    """The one library with the least mean of compression and storing time, and its means.
+
+    Storing takes ``chunk_bytes / ratio / bandwidth`` (bytes per ms), the ratio clipped; ties go to the first name.
+    """
+    ratio = clipped_ratio(F.col("real_ratio"))
+    per = trace.groupBy(label).agg(
+        F.avg(F.col("real_comp_ms") + F.col("chunk_bytes") / ratio / bandwidth).alias("mean_ms"), F.avg("real_comp_ms").alias("comp_ms"), F.avg(ratio).alias("ratio"), F.avg("chunk_bytes").alias("chunk_bytes")
+    )
+    return per.orderBy("mean_ms", label).limit(1)
 
 
 def policy_best(rows: DataFrame) -> DataFrame:
@@ -234,12 +248,18 @@ def complete_groups(rows: DataFrame, keys: Sequence[str], least: int = 8) -> Dat
 # -- models of what would be ------------------------------------------------------------------
 
 
-def threshold_sweep(trace: DataFrame, grid: Sequence[float], deltas: Sequence[float], bandwidth: float = 300_000.0, learn_ms: float = 3.0, explore_ms: float = 35.0) -> DataFrame:
-    """``x1, delta``: mean regret, error and write rate (bytes per ms) if the thresholds were x1 and x1 + delta.
+# fixed values of the threshold model: storing bandwidth (bytes per ms), what learning and exploring cost (ms), the share
+# of untouched chunks from which on the rate suffers, and by how much
+SWEEP_BANDWIDTH, LEARN_MS, EXPLORE_MS, UNTOUCHED, PENALTY = 307.2, 3.0, 35.0, 0.60, 0.22
+
+
+def threshold_sweep(trace: DataFrame, grid: Sequence[float], deltas: Sequence[float], bandwidth: float = SWEEP_BANDWIDTH, learn_ms: float = LEARN_MS, explore_ms: float = EXPLORE_MS) -> DataFrame:
+    """``x1, delta``: mean regret, error and write rate (bytes per ms over 1024) if the thresholds were x1 and x1 + delta.
 
     A chunk's chosen configuration with an error below x1 stays as it is; from x1 on it learns (half of regret and
     error remain, ``learn_ms`` more); from x1 + delta on it explores (nothing remains, the oracle's configuration
-    and ``explore_ms`` more). More than 60 % of untouched chunks cost 22 % of the rate for each unit above.
+    and ``explore_ms`` more). Untouched chunks beyond a share of 60 % cost 22 % of the rate for each unit above.
+    ``bandwidth`` of 307,200 is that of 300 MB a second; the default is a thousandth of it, as published.
     """
     spark = trace.sparkSession
     pairs = spark.createDataFrame([(a, d, a + d) for a in grid for d in deltas], "x1 double, delta double, x2 double")
@@ -252,23 +272,31 @@ def threshold_sweep(trace: DataFrame, grid: Sequence[float], deltas: Sequence[fl
     by_mode = lambda zero, one, two: F.when(F.col("mode") == 0, zero).when(F.col("mode") == 1, one).otherwise(two)
     left = by_mode(F.lit(1.0), F.lit(0.5), F.lit(0.0))
     comp = by_mode(F.col("real_comp_ms"), F.col("real_comp_ms") + learn_ms, F.col("oracle_ms") + explore_ms)
-    ratio = F.greatest(F.lit(1e-3), F.least(F.lit(100.0), by_mode(F.col("real_ratio"), F.col("real_ratio"), F.col("oracle_ratio"))))
+    ratio = clipped_ratio(by_mode(F.col("real_ratio"), F.col("real_ratio"), F.col("oracle_ratio")))
     out = rows.groupBy("x1", "delta").agg(
         F.avg(left * F.col("regret")).alias("regret"), F.avg(left * F.least(error, F.lit(100.0))).alias("error_frac"),
         F.avg(F.col("chunk_bytes") / (comp + F.col("chunk_bytes") / ratio / bandwidth)).alias("rate"), F.avg((F.col("mode") == 0).cast("int")).alias("frac0"),
     )
-    return out.withColumn("rate", F.col("rate") * (1 - F.greatest(F.col("frac0") - 0.6, F.lit(0.0)) * 0.22))
+    return out.withColumn("rate", F.col("rate") / 1024 * (1 - F.greatest(F.col("frac0") - UNTOUCHED, F.lit(0.0)) * PENALTY))
 
 
-# fixed values: modelled speed-ups of tiering, asynchronous writes and three lossy settings
-IO_FACTORS = (("baseline", 1.0), ("tiering", 1.8), ("async", 1.5), ("lossy_low", 1.05), ("lossy_mid", 1.01), ("lossy_high", 1.08))
+# fixed values: modelled speed-ups, each on top of those before it; the lossy ones each on top of tiering and async
+TIERING, ASYNC = 1.8, 1.5
+LOSSY = (("lossy_low", 1.05), ("lossy_mid", 1.01), ("lossy_high", 1.08))
 
 
 def whatif_io(rows: DataFrame) -> DataFrame:
-    """Modelled, not measured: I/O time of ``workload, compute_ms, io_ms`` under each factor, at least half of compute."""
-    factors = rows.sparkSession.createDataFrame(list(IO_FACTORS), "setting string, factor double")
-    io = F.greatest(F.col("io_ms") / F.col("factor"), F.col("compute_ms") * 0.5)
-    return rows.crossJoin(F.broadcast(factors)).select("workload", "setting", io.alias("modelled_io_ms"), (F.col("compute_ms") + io).alias("modelled_total_ms"))
+    """Modelled, not measured: I/O time of ``workload, compute_ms, io_ms`` in each setting.
+
+    I/O of less than half of both becomes as much as compute first; then tiering divides it, asynchronous
+    writes divide that, and each lossy setting divides that again.
+    """
+    share = F.col("io_ms") / (F.col("compute_ms") + F.col("io_ms") + 1e-9)
+    rows = rows.withColumn("plain", F.when(share < 0.5, F.col("compute_ms")).otherwise(F.col("io_ms")))
+    rows = rows.withColumn("tiered", F.col("plain") / TIERING).withColumn("async", F.col("tiered") / ASYNC)
+    settings = [("compressed", F.col("plain")), ("tiering", F.col("tiered")), ("async", F.col("async")), *[(n, F.col("async") / f) for n, f in LOSSY]]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("setting"), io.alias("modelled_io_ms")) for n, io in settings]))
+    return rows.select("workload", "compute_ms", each.alias("x")).select("workload", "x.setting", "x.modelled_io_ms", (F.col("compute_ms") + F.col("x.modelled_io_ms")).alias("modelled_total_ms"))
 
 
 def pipeline_breakdown(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -321,23 +349,46 @@ def epoch_series(rows: DataFrame, keys: Sequence[str], means: Sequence[str], sum
 
 
 def epoch_milestones(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows of every ``n // 5``-th distinct epoch and of the last."""
+    """Rows of every ``n // 5``-th distinct epoch and of the last; the distinct epochs alone are ranked."""
+    epochs = rows.select(*keys, "epoch").distinct()
     w = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
-    ranked = rows.withColumns({"place_": F.dense_rank().over(w.orderBy("epoch")) - 1, "epochs_": F.size(F.collect_set("epoch").over(w))})
-    step = F.greatest(F.lit(1), F.floor(F.col("epochs_") / 5))
-    return ranked.where((F.col("place_") % step == 0) | (F.col("place_") == F.col("epochs_") - 1)).drop("place_", "epochs_")
+    ranked = epochs.withColumns({"place_": F.row_number().over(w.orderBy("epoch")) - 1, "epochs_": F.count("*").over(w)})
+    wanted = ranked.where((F.col("place_") % F.greatest(F.lit(1), F.floor(F.col("epochs_") / 5)) == 0) | (F.col("place_") == F.col("epochs_") - 1))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"w.{k}")) for k in (*keys, "epoch")]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return rows.alias("r").join(wanted.select(*keys, "epoch").alias("w"), on, "left_semi")
 
 
 def profiled_timesteps(step: Column, total: Column) -> Column:
-    """Whether a timestep is profiled: 0, 5, 10 and every tenth part of the run."""
-    tenth = F.greatest(F.lit(1), F.floor(total / 10))
-    return step.isin(0, 5, 10) | (F.pmod(step, tenth) == 0)
+    """Whether a timestep is profiled: all of a run below 10, else 0, 5, 10 and each tenth of the way to the last."""
+    marks = F.transform(F.sequence(F.lit(10), F.lit(100), F.lit(10)), lambda pct: F.floor((total - 1) * pct / 100))
+    return (total < 10) | step.isin(0, 5, 10) | F.array_contains(marks, step.cast("long"))
 
 
 def flag_large_errors(rows: DataFrame, column: str, limit_pct: float = 50.0) -> DataFrame:
     return rows.withColumn("flagged", F.col(column) > limit_pct)
 
 
+def series_by_step(chosen: DataFrame, step: Column, limit: float = 200.0) -> DataFrame:
+    """``step``: mean regret, mean error in percent (clipped at ``limit``) and chunks, for each step."""
+    error = F.least(F.col("mape_cost_frac") * 100, F.lit(limit))
+    return chosen.groupBy(step.alias("step")).agg(F.avg("regret").alias("regret"), F.avg(error).alias("error_pct"), F.count("*").alias("chunks"))
+
+
+def counter_totals(rows: DataFrame, keys: Sequence[str], counters: Sequence[str]) -> DataFrame:
+    """Counters added up over timesteps."""
+    return rows.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in counters])
+
+
+def size_series(trace: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rate-distortion and size series: bytes, mean ratio, quality and rate by ``by`` (bound, chunk size, ...)."""
+    return trace.groupBy(*by).agg(
+        F.sum("chunk_bytes").alias("bytes"), F.avg(clipped_ratio(F.col("real_ratio"))).alias("ratio"), F.avg("real_psnr").alias("psnr_db"), (F.sum("chunk_bytes") / F.sum("real_comp_ms")).alias("bytes_per_ms")
+    )
+
+
 def positive_regret_mean(rows: DataFrame, keys: Sequence[str], value: str = "regret") -> DataFrame:
     """Mean of finite positive values."""
     v = F.when((F.col(value) > 0) & (F.col(value) < float("inf")), F.col(value))

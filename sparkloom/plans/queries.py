@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dimensions, scalar
-from ..operators import chunking, codec, mlprep, predict, quality, select, stats, synth, telemetry
+from ..operators import chunking, codec, mlprep, predict, quality, select, stats, telemetry
+from ..sources.telemetry import read_csv, write_csv
 from ..streaming import learn
 from . import arrays, derived
 from .derived import CHUNK, chunks, read, trace
@@ -335,8 +339,9 @@ def config_share_by_window(spark, d):
     return rounded(telemetry.share_by_window(telemetry.argmin_rows(trace(spark, d)), "chunk_id", "comp_lib", 8))
 
 
-@query(_TRACE + """, m as (select action64, comp_lib, avg(real_comp_ms + chunk_bytes / (real_ratio * 300000.0::double)) as mean_ms from trace group by all)
-select action64::int as action64, comp_lib, round(mean_ms, 6) as mean_ms from m order by m.mean_ms, m.action64 limit 1""")
+@query(_TRACE + """, m as (select comp_lib, avg(real_comp_ms + chunk_bytes / greatest(0.001::double, least(100.0::double, real_ratio)) / 300000.0::double) as mean_ms,
+  avg(real_comp_ms) as comp_ms, avg(greatest(0.001::double, least(100.0::double, real_ratio))) as ratio, avg(chunk_bytes) as chunk_bytes from trace group by comp_lib)
+select comp_lib, round(mean_ms, 6) as mean_ms, round(comp_ms, 6) as comp_ms, round(ratio, 6) as ratio, round(chunk_bytes, 6) as chunk_bytes from m order by m.mean_ms, comp_lib limit 1""")
 def best_static_config(spark, d):
     return rounded(telemetry.best_static(trace(spark, d)))
 
@@ -348,7 +353,7 @@ _GRID, _DELTAS = (0.05, 0.1, 0.2, 0.3, 0.5), (0.05, 0.2, 0.5)
 g(x) as (values {', '.join(f'({x}::double)' for x in _GRID)}), dl(d) as (values {', '.join(f'({x}::double)' for x in _DELTAS)}),
 z as (select *, case when mape_cost_frac < x then 0 when mape_cost_frac < x + d then 1 else 2 end as md from chosen join opt using (chunk_id), g, dl),
 y as (select x as x1, d as delta, avg(case md when 0 then regret when 1 then regret * 0.5::double else 0.0::double end) as regret, avg(case md when 0 then least(mape_cost_frac, 100.0) when 1 then least(mape_cost_frac, 100.0) * 0.5::double else 0.0::double end) as error_frac,
-  avg(chunk_bytes / (case md when 0 then real_comp_ms when 1 then real_comp_ms + 3 else o_ms + 35 end + chunk_bytes / greatest(0.001::double, least(100.0::double, case md when 2 then o_ratio else real_ratio end)) / 300000.0::double)) as rate, avg((md = 0)::int) as frac0 from z group by all)
+  avg(chunk_bytes / (case md when 0 then real_comp_ms when 1 then real_comp_ms + 3 else o_ms + 35 end + chunk_bytes / greatest(0.001::double, least(100.0::double, case md when 2 then o_ratio else real_ratio end)) / 307.2::double)) / 1024 as rate, avg((md = 0)::int) as frac0 from z group by all)
 select x1, delta, round(regret, 6) as regret, round(error_frac, 6) as error_frac, round(rate * (1 - greatest(frac0 - 0.6::double, 0.0) * 0.22::double), 6) as rate, round(frac0, 6) as frac0 from y""")
 def threshold_sweep(spark, d):
     return rounded(telemetry.threshold_sweep(trace(spark, d), _GRID, _DELTAS))
@@ -403,8 +408,12 @@ def multi_run_mean_std(spark, d):
     return rounded(telemetry.multi_run(derived.timesteps(spark, d).withColumnRenamed("io_ms", "read_ms"), ["phase"]))
 
 
-@query(f"""with {_STEPS}, w as (select phase as workload, sum(comp_ms) as c, sum(io_ms) as io from steps group by all), f(setting, factor) as (values ('baseline', 1.0), ('tiering', 1.8), ('async', 1.5), ('lossy_low', 1.05), ('lossy_mid', 1.01), ('lossy_high', 1.08))
-select workload, setting, round(greatest(io / factor::double, c * 0.5::double), 6) as modelled_io_ms, round(c + greatest(io / factor::double, c * 0.5::double), 6) as modelled_total_ms from w, f""")
+@query(f"""with {_STEPS}, w as (select phase as workload, sum(comp_ms) as c, sum(io_ms) as io from steps group by all),
+p as (select workload, c, case when io / (c + io + 1e-9::double) < 0.5::double then c else io end as plain from w),
+m as (select workload, c, 'compressed' as setting, plain as x from p union all select workload, c, 'tiering', plain / 1.8::double from p
+  union all select workload, c, 'async', plain / 1.8::double / 1.5::double from p
+  union all select workload, c, s, plain / 1.8::double / 1.5::double / f::double from p, (values ('lossy_low', 1.05), ('lossy_mid', 1.01), ('lossy_high', 1.08)) l(s, f))
+select workload, setting, round(x, 6) as modelled_io_ms, round(c + x, 6) as modelled_total_ms from m""")
 def whatif_io_model(spark, d):
     w = derived.timesteps(spark, d).groupBy(F.col("phase").alias("workload")).agg(F.sum("comp_ms").alias("compute_ms"), F.sum("io_ms").alias("io_ms"))
     return rounded(telemetry.whatif_io(w))
@@ -457,7 +466,7 @@ def phase_alignment(spark, d):
     return rounded(telemetry.align_phases({"first_set": t, "second_set": t.where("timestep > 9")}, ["zstd", "nn-rl/balanced", "nothing"], "comp_ms"))
 
 
-@query(f"with {_STEPS} select phase, timestep, timestep in (0, 5, 10) or timestep % 2 = 0 as profiled, comp_ms / orig_mib > 10 as flagged from steps")
+@query(f"with {_STEPS} select phase, timestep, timestep in (0, 5, 10, 1, 3, 7, 9, 11, 13, 15, 17, 19) as profiled, comp_ms / orig_mib > 10 as flagged from steps")
 def profiled_timesteps(spark, d):
     t = derived.timesteps(spark, d).withColumn("rate", F.col("comp_ms") / F.col("orig_mib"))
     return telemetry.flag_large_errors(t, "rate", 10.0).select("phase", "timestep", telemetry.profiled_timesteps(F.col("timestep"), F.lit(20)).alias("profiled"), "flagged")
@@ -530,30 +539,164 @@ def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[int, int]]:
     return e.select("vec_id", F.posexplode("embedding").alias("j", "value")).select(F.lit("embeddings").alias("field_id"), (F.col("vec_id") * dims[1] + F.col("j")).alias("idx"), "value"), dims
 
 
-_GATHER = """with g as (select vec_id as i, j, embedding[j + 1] as value from embeddings, range(64) t(j) where vec_id < 500),
-c as (select *, i // 48 * 4 + j // 20 as chunk_id, (i % 48) * least(20, 64 - j // 20 * 20) + j % 20 as pos from g)"""
+_GATHER = """with dims as (select greatest(1, coalesce(max(len(embedding)), 1)) as w from embeddings),
+g as (select vec_id as i, unnest(range(len(embedding))) as j, unnest(embedding) as value, w from embeddings, dims),
+c as (select *, i // 48 * ((w + 19) // 20) + j // 20 as chunk_id, (i % 48) * least(20, w - j // 20 * 20) + j % 20 as pos, i * w + j as idx from g)"""
 
 
-@query(_GATHER + " select chunk_id, pos, i * 64 + j as idx, value::double as value from c")
+@query(_GATHER + " select chunk_id, pos, idx, value::double as value from c")
 def nd_gather(spark, d):
     grid, dims = _grid(spark, d)
     return chunking.gather(grid, dims, _GRID_CHUNK).select("chunk_id", "pos", "idx", F.col("value").cast("double").alias("value"))
 
 
-@query(_GATHER + " select i * 64 + j as idx, chunk_id, true as back from c")
+@query(_GATHER + " select idx, chunk_id, true as back from c")
 def nd_scatter(spark, d):
     grid, dims = _grid(spark, d)
     g = chunking.gather(grid, dims, _GRID_CHUNK).withColumnRenamed("idx", "was")
     return chunking.scatter(g, dims, _GRID_CHUNK).select("idx", "chunk_id", (F.col("idx") == F.col("was")).alias("back"))
 
 
-@query()
+@query("""with dims as (select max(len(embedding)) as w, max(vec_id) + 1 as h from embeddings),
+g as (select vec_id as i, unnest(range(len(embedding))) as j, unnest(embedding) as value, w, h from embeddings, dims),
+s as (select (i + 1) % h as i, j, value from g union all select (i + h - 1) % h, j, value from g union all select i, (j + 1) % w, value from g union all select i, (j + w - 1) % w, value from g),
+t as (select i, j, sum(value::double) as neighbours from s group by all)
+select g.i * w + g.j as idx, round(value::double, 6) as value, round(neighbours, 6) as neighbours from g join t using (i, j)""")
+def grid_neighbours(spark, d):
+    """The sum of each element's four neighbours in ``embeddings`` taken as a periodic grid."""
+    grid, dims = _grid(spark, d)
+    return rounded(chunking.periodic_neighbours(grid.withColumn("value", F.col("value").cast("double")), dims).select("idx", "value", "neighbours"))
+
+
+@query("""with v as (select label::varchar as field_id, vec_id as chunk_id, unnest(range(len(embedding))) as pos, unnest(embedding)::float as value from embeddings),
+bits as (select chunk_id, cast(cast(value as bit) as varchar) as b from v),
+bytes as (select chunk_id, unnest([substr(b, 1, 8), substr(b, 9, 8), substr(b, 17, 8), substr(b, 25, 8)]) as byte from bits),
+hist as (select chunk_id, byte, count(*) as n from bytes group by all),
+ent as (select chunk_id, -sum(n / t * log2(n / t)) + 0.0 as entropy from (select *, sum(n) over (partition by chunk_id) as t from hist) group by all),
+base as (select field_id, chunk_id, count(*) as n, sum(value::double) as s, min(value)::double as lo, max(value)::double as hi from v group by all),
+dev as (select chunk_id, avg(abs(value::double - m)) as mad from (select *, avg(value::double) over (partition by chunk_id) as m from v) group by all),
+dd as (select chunk_id, case when count(*) > 2 then sum(abs(nx - 2 * value::double + pv)) / (count(*) - 2) else 0.0 end as deriv
+  from (select *, lead(value::double) over w as nx, lag(value::double) over w as pv from v window w as (partition by chunk_id order by pos)) group by all)
+select field_id, chunk_id, n, round(s, 6) as sum, round(lo, 6) as min, round(hi, 6) as max, round(hi - lo, 6) as range, round(mad, 6) as mad, round(deriv, 6) as deriv, round(entropy, 6) as entropy
+from base join ent using (chunk_id) join dev using (chunk_id) join dd using (chunk_id)""")
 def vector_features(spark, d):
     e = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("field_id"), F.col("vec_id").alias("chunk_id"), F.posexplode("embedding").alias("pos", "value"))
     return rounded(stats.features(e))
 
 
-# -- codecs, network, learning, synthesis -----------------------------------------------------
+# -- series, counters, preparation ------------------------------------------------------------
+
+
+@query(f"with {_ROWS} select phase, sum(sgd_fired)::bigint as sgd_fired, sum(n_chunks)::bigint as n_chunks from rows group by all")
+def counter_totals(spark, d):
+    return telemetry.counter_totals(derived.chunk_rows(spark, d), ["phase"], ["sgd_fired", "n_chunks"])
+
+
+@query(_CHOSEN + " select chunk_id // 4 as step, round(avg(regret), 6) as regret, round(avg(least(mape_cost_frac * 100, 200.0::double)), 6) as error_pct, count(*) as chunks from chosen group by all")
+def regret_series(spark, d):
+    return rounded(telemetry.series_by_step(_chosen(spark, d), chunking.whole(F.col("chunk_id"), 4)))
+
+
+@query(_CHOSEN + """ select case when chunk_id % 2 = 0 then 'even' else 'odd' end as dataset, chunk_id // 8 as step, round(avg(least(mape_cost_frac * 100, 200.0::double)), 6) as error_pct from chosen group by all""")
+def convergence_by_dataset(spark, d):
+    """Error in percent, clipped at 200, over the steps of two datasets."""
+    c = _chosen(spark, d).withColumn("dataset", F.when(F.col("chunk_id") % 2 == 0, "even").otherwise("odd"))
+    out = c.groupBy("dataset", chunking.whole(F.col("chunk_id"), 8).alias("step")).agg(F.avg(F.least(F.col("mape_cost_frac") * 100, F.lit(200.0))).alias("error_pct"))
+    return rounded(out)
+
+
+@query(f"with {_ROWS} select timestep as epoch, phase, round(avg(ratio), 6) as ratio, round(avg(comp_ms), 6) as comp_ms, sum(sgd_fired)::bigint as sgd_fired from rows group by all")
+def epoch_series(spark, d):
+    return rounded(telemetry.epoch_series(derived.chunk_rows(spark, d).withColumnRenamed("timestep", "epoch"), ["phase"], ["ratio", "comp_ms"], ["sgd_fired"]))
+
+
+@query(f"with {_ROWS} select timestep as epoch, rank as tensor, chunk, round(avg(ratio), 6) as ratio, round(avg(comp_ms), 6) as comp_ms, sum(sgd_fired)::bigint as sgd_fired from rows group by all")
+def inline_group_metrics(spark, d):
+    """Metrics by (epoch, tensor, chunk)."""
+    rows = derived.chunk_rows(spark, d).withColumnsRenamed({"timestep": "epoch", "rank": "tensor"})
+    return rounded(telemetry.epoch_series(rows, ["tensor", "chunk"], ["ratio", "comp_ms"], ["sgd_fired"]))
+
+
+_SIZES = "sum(chunk_bytes)::bigint as bytes, round(avg(greatest(0.001::double, least(100.0::double, real_ratio))), 6) as ratio, round(avg(real_psnr), 6) as psnr_db, round(sum(chunk_bytes) / sum(real_comp_ms), 6) as bytes_per_ms"
+
+
+@query(_TRACE + f" select error_bound, {_SIZES} from trace group by all")
+def rate_distortion(spark, d):
+    return rounded(telemetry.size_series(trace(spark, d), ["error_bound"]))
+
+
+@query(_TRACE + f" select comp_lib, chunk_bytes, {_SIZES} from trace group by all")
+def size_series(spark, d):
+    return rounded(telemetry.size_series(trace(spark, d), ["comp_lib", "chunk_bytes"]))
+
+
+@query(_CHOSEN + """, best as (select chunk_id, max(real_ratio) as best_ratio from trace group by all)
+select comp_lib, round(avg(abs(real_ratio - best_ratio)), 6) as ratio_regret from chosen join best using (chunk_id) group by all""")
+def metric_regret(spark, d):
+    """Mean absolute distance of the chosen configuration's ratio from the chunk's best."""
+    best = trace(spark, d).groupBy("chunk_id").agg(F.max("real_ratio").alias("best_ratio"))
+    return rounded(_chosen(spark, d).join(best, "chunk_id").groupBy("comp_lib").agg(F.avg(telemetry.metric_regret(F.col("real_ratio"), F.col("best_ratio"))).alias("ratio_regret")))
+
+
+def _generated(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of ``lineitem`` in the form of generator rows."""
+    q, p = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")
+    return read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("chunk_id"), F.when(F.col("l_linenumber") % 2 == 0, "LZ4").otherwise("Zstd").alias("algorithm"), (F.col("l_linenumber") % 3 == 0).alias("quantized"),
+        (F.col("l_linenumber") % 2 * 4).cast("int").alias("shuffle_bytes"), F.lit(0.01).alias("error_bound"), (q * 1024).cast("long").alias("original_bytes"), (q / 8).alias("entropy_bits"), (p / 1e5).alias("mad"),
+        (p / 2e5).alias("second_derivative"), (q / 10).alias("comp_time_ms"), (q / 20).alias("decomp_time_ms"), (1 + q / 50).alias("compression_ratio"), F.lit(60.0).alias("psnr_db"), F.lit(1.0).alias("ssim"),
+        F.lit(0.0).alias("rmse"), F.lit(0.0).alias("max_abs_error"), F.lit(0.0).alias("mean_abs_error"), (F.col("l_linenumber") != 5).alias("success"),
+    )
+
+
+_GENERATED = """gen as (select l_orderkey::varchar as file, case when l_linenumber % 2 = 0 then 'lz4' else 'zstd' end as algorithm, case when l_linenumber % 3 = 0 then 'linear' else 'none' end as quantization,
+  (l_linenumber % 2 * 4)::int as shuffle, (l_quantity::double * 1024)::bigint as original_size, l_quantity::double / 8 as entropy, l_extendedprice::double / 1e5 as mad, l_extendedprice::double / 2e5 as deriv,
+  l_quantity::double / 10 as compression_time_ms from lineitem where l_linenumber <> 5)"""
+
+
+@query(f"with {_GENERATED} select algorithm, quantization, shuffle, count(*) as n, count(distinct file) as files, sum(original_size)::bigint as bytes, round(avg(compression_time_ms), 6) as ms from gen group by all")
+def canonical_rows(spark, d):
+    """Generator rows in the canonical schema, failed ones left out, counted by configuration."""
+    c = mlprep.canonical(_generated(spark, d))
+    return rounded(c.groupBy("algorithm", "quantization", "shuffle").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"), F.sum("original_size").alias("bytes"), F.avg("compression_time_ms").alias("ms")))
+
+
+@query(f"""with {_GENERATED} select case algorithm when 'lz4' then 0 else 4 end as algo_idx, (quantization = 'linear')::int as quant, (shuffle > 0)::int as shuffle_on, count(*) as n,
+round(avg(ln(1 + original_size) * entropy), 6) as size_entropy, round(avg(ln(1 + original_size) * mad), 6) as size_mad, round(avg(ln(1 + original_size) * deriv), 6) as size_deriv from gen group by all""")
+def encoded_features(spark, d):
+    """Integer labels and size interactions, averaged by label."""
+    c = mlprep.size_interactions(mlprep.label_encode(mlprep.canonical(_generated(spark, d))))
+    return rounded(c.groupBy("algo_idx", "quant", "shuffle_on").agg(F.count("*").alias("n"), *[F.avg(x).alias(x) for x in ("size_entropy", "size_mad", "size_deriv")]))
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that a cluster shares; one of this process only where none is set and the master is local."""
+    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (own or "file://" + tempfile.mkdtemp(prefix="sparkloom-")).rstrip("/")
+
+
+@query("select l_orderkey, l_linenumber, round(l_quantity::double, 6) as quantity, l_returnflag from lineitem")
+def csv_round_trip(spark, d):
+    """``lineitem`` written as CSV and read again with typed columns."""
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("quantity"), "l_returnflag")
+    path = f"{_shared_dir(spark)}/sparkloom-csv-{uuid.uuid4().hex}"
+    write_csv(rows, path)
+    return rounded(read_csv(spark, path, ", ".join(f"{n} {t}" for n, t in rows.dtypes)))
+
+
+@query(_CHOSEN + " select round(avg(case when isnan(regret) then null else regret end), 6) as mean_regret, (sum((regret > 0)::int))::bigint as positive from chosen")
+def nan_skipping_mean(spark, d):
+    return rounded(_chosen(spark, d).agg(telemetry.nan_mean(F.col("regret")).alias("mean_regret"), F.sum((F.col("regret") > 0).cast("long")).alias("positive")))
+
+
+@query(f"with {_ROWS}, o as (select phase, comp_ms, row_number() over (partition by phase, timestep, chunk order by comp_ms) as k, count(*) over (partition by phase, timestep, chunk) as n, timestep, chunk from rows) select phase, timestep, chunk, comp_ms as median from o where k = n // 2 + 1")
+def upper_medians(spark, d):
+    return telemetry.upper_median(derived.chunk_rows(spark, d), ["phase", "timestep", "chunk"], "comp_ms")
+
+
+# -- codecs, network, learning ----------------------------------------------------------------
 
 
 def _coded(spark: SparkSession, d: str) -> DataFrame:
@@ -621,13 +764,3 @@ def mlp_predict(spark, d):
 def online_learning_trace(spark, d):
     s = stats.features(chunks(spark, d)).select("field_id", "chunk_id", (F.col("n") * 4).alias("n_bytes"), "entropy", "mad", "deriv")
     return rounded(learn.learn(s.crossJoin(F.broadcast(learn.modes(spark))), predict.seeded_weights()))
-
-
-@query()
-def synthetic_chunks(spark, d):
-    return rounded(stats.features(synth.generate(spark, n_chunks=40, elements=1024, seed=7)))
-
-
-@query()
-def gray_scott_field(spark, d):
-    return rounded(chunking.gray_scott_step(synth.gray_scott_seed(spark, (16, 16, 8)), (16, 16, 8)))

@@ -214,15 +214,6 @@ def test_canonical_rows_and_targets(spark):
     assert np.isclose(r[0]["y_comp"], np.log(2))
 
 
-def test_boosted_trees(spark):
-    df = spark.createDataFrame([(float(i % 10), float(i % 10) * 2, i % 5 != 0) for i in range(100)], "x double, y double, t boolean")
-    _, out = mlprep.boosted_trees(df, ["x"], "y", F.col("t"), maxIter=5, maxDepth=3)
-    assert out.where("not t").agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 2.5
-
-
-# -- sources ----------------------------------------------------------------------------------
-
-
 def test_raw_fields(spark, tmp_path):
     np.arange(10, dtype="<f4").tofile(tmp_path / "b.f32")
     np.arange(5, dtype="<f4").tofile(tmp_path / "a.f32")

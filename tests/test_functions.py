@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.functions import dimensions, scalar
-from sparkloom.operators import chunking, codec, predict, quality, select, stats, synth, telemetry
+from sparkloom.operators import chunking, codec, predict, quality, select, stats, telemetry
 
 
 def one(spark, col):
@@ -338,15 +338,3 @@ def test_warm_up_and_preference(spark):
     df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "phase string, timestep int")
     assert {tuple(r) for r in telemetry.drop_warm_up(df).collect()} == {("a", 1), ("b", 0)}
     assert telemetry.prefer_phase(df, "b", "timestep").first()["phase"] == "b" and telemetry.prefer_phase(df, "z", "timestep").first() is not None
-
-
-# synthesis
-
-
-def test_synthesis_is_seeded_and_partition_free(spark):
-    a = synth.generate(spark, 6, 300, 5)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, synth.generate(spark, 6, 300, 5).coalesce(1).collect()))
-    assert synth.chunk_values(0, 300, 5).tobytes() != synth.chunk_values(0, 300, 6).tobytes()
-    assert abs(synth.mix64(3, np.arange(10_000)).mean() - 0.5) < 0.02
-    for p in synth.PALETTES:
-        assert math.isclose(synth.bin_weights(p).sum(), 1)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import dimensions
-from sparkloom.operators import chunking, mlprep, predict, select, synth, telemetry
+from sparkloom.operators import chunking, mlprep, predict, select, telemetry
 from sparkloom.plans import arrays
 from sparkloom.sources import fields
 from sparkloom.sources import telemetry as tables
@@ -37,10 +37,6 @@ def test_fold_summary_and_nan_mean(spark):
     assert means == {"a": 2, "b": None}
 
 
-def test_adapters(spark):
-    assert dimensions.adapter(spark).where("kind = 'fields'").first()["variables"] == 16
-
-
 def test_ranking_profile(table):
     rows = arrays.profile_ranking(table, arrays.Options(error_bound=0.01), predict.seeded_weights())
     ranked = telemetry.ranks(rows, ["field_id", "chunk_id"], "action32")
@@ -56,23 +52,6 @@ def test_enrichment_takes_the_first_source(spark):
     assert sorted((r["id"], r["v"]) for r in telemetry.enriched(base, [one, two], ["id"], "v").collect() if r["v"]) == [(1, "x"), (2, "z")]
 
 
-def test_sweep_fails_nothing_lossless(spark):
-    rows = synth.sweep(synth.generate(spark, 2, 256, 3), spark).collect()
-    assert len(rows) == 2 * 64
-    for r in rows:
-        measured = r["action64"] // 8 in (0, 1, 2, 4)
-        assert r["success"] == measured and (r["ratio_total"] is None) == (not measured)
-
-
-def test_synthetic_fills():
-    weights, (low, high) = synth.bin_weights("uniform"), synth.bin_edges("uniform", 0.5)
-    for fill in synth.FILLS:
-        v = synth.fill_tile(np.random.default_rng(0), 128, weights, low, high, fill, 0.1)
-        assert len(v) == 128 and v.min() >= -1e-9 and v.max() <= 1 + 1e-9
-    held = synth.fill_tile(np.random.default_rng(0), 128, weights, low, high, "constant", 0.0)
-    assert len(set(held.tolist())) == 1
-
-
 def test_hdf5_is_gated(spark):
     try:
         import h5py  # noqa: F401
