@@ -30,7 +30,7 @@ THRESHOLD = 0.3
 PIECE = 512
 
 _LETTER, _DIGIT, _SPACE, _STOP, _BAR, _MARK, _SHOUT, _OTHER = range(8)
-_CLASS = np.full(256, _OTHER, np.int64)
+_CLASS = np.full(256, _OTHER, np.int32)
 _CLASS[128:] = _LETTER
 for _chars, _c in ((b"abcdefghijklmnopqrstuvwxyz", _LETTER), (b"0123456789", _DIGIT), (b" \t\n\x0b\x0c\r", _SPACE), (b".,;:?'\"()-", _STOP), (b"!", _SHOUT), (b"|", _BAR), (b"#$%&*", _MARK)):
     _CLASS[list(_chars)] = _c
@@ -48,7 +48,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     n = len(ends)
     begins = np.append(0, ends[:-1] + 1)
     length = ends - begins + 1
-    line = np.repeat(np.arange(n), length)
+    line = np.repeat(np.arange(n, dtype=np.int32 if n < 1 << 27 else np.int64), length)
     counts = np.bincount(line * 8 + _CLASS[raw], minlength=8 * n).reshape(n, 8).astype(np.float64)
     upper = np.bincount(line, np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) != raw, n)
     digest, wb, we = words_in(raw)
