@@ -42,7 +42,7 @@ KEY_ROWS = 1024
 SMALL_GROUP = 64
 #: Documents of a star, and how often a key gets a new centre.
 STAR = 512
-CENTRES = 3
+CENTRES = 2
 #: Documents of a block whose sets are compared with another block's, and shingles of all of them, about.
 BLOCK_DOCS = 512
 BLOCK_SHINGLES = 1 << 19
