@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import mixing, near_dup, packing, quality
-from sparkloom.llm.common import drop_scratch, materialize, scratch_scope, table
+from sparkloom.llm.common import drop_scratch, materialize, scratch_scope, small_batches, table
 from sparkloom.llm.tokens import vocabulary_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -70,7 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
             return out
-        with scratch_scope() as written:
+        with scratch_scope() as written, small_batches(spark):
             docs = materialize(out, f"stage-{name}")
         drop_scratch(spark, made + before)
         before = written
