@@ -56,7 +56,7 @@ class SpanEncoder(ChunkEncoder):
                 self._new.update(zip(some, self._whole([" " + c for c in some]), strict=True))
 
     def _some(self, texts: list[str], out: list, base: int) -> None:
-        parts = [t.split(" ") for t in texts]
+        parts = [["", ""] if self._has_added(t) else t.split(" ") for t in texts]
         found = [list(map(self._new.get, p)) for p in parts]
         holes = [[i for i, x in enumerate(got) if x is None and i] for got in found]
         missing = {p[i] for p, hole in zip(parts, holes, strict=True) for i in hole}

@@ -4,8 +4,8 @@ Both tokenizer kinds used here split a text before byte-pair merging, and a sing
 between two characters that are not white space always ends a piece of that split.  A text is
 therefore cut at such spaces, each different chunk is encoded once by the library, and a text's
 ids are its chunks' ids in order.  A text with any other use of white space around a space
-(doubled, leading, trailing) is given to the library whole, so the ids are always exactly those
-of encoding the whole text.
+(doubled, leading, trailing), or with the string of an added token of the vocabulary, is given to the
+library whole, so the ids are always exactly those of encoding the whole text.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._added = sorted({*added, *map(str.lower, added)})
         self.dtype = np.dtype(dtype)
         self.cache_chunks = cache_chunks
         self._new: dict[str, bytes | bool] = {}
@@ -99,8 +100,11 @@ class ChunkEncoder:
         """Chunks of a text: the first as it stands at the begin, the others after a space.
 
         Where white space leaves no trace and letters become small, that is done first for texts of Latin-1
-        characters, for which Python and the tokenizer agree; the first chunk is then the empty one.
+        characters, for which Python and the tokenizer agree; the first chunk is then the empty one.  A text
+        with an added token's string, in any case of letters, is two empty chunks, which no space bounds.
         """
+        if self._has_added(text):
+            return ["", ""]
         if not self._spaced:
             try:
                 raw = text.encode("latin-1")
@@ -110,6 +114,10 @@ class ChunkEncoder:
                 return ["", *text.lower().split()]
         return text.split(" ")
 
+    def _has_added(self, text: str) -> bool:
+        small = text.lower()
+        return any(a in text or a in small for a in self._added)
+
     def _some(self, texts: list[str], out: list, base: int) -> None:
         parts = [self._parts(t) for t in texts]
         found = [list(map(self._new.get, p)) for p in parts]

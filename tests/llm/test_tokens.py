@@ -24,6 +24,24 @@ def test_chunks_encode_like_whole_texts(name):
     assert small.encode(texts) == want
 
 
+ADDED = ["<|endoftext|>", "one <|endoftext|> two", "<|startoftext|>a b", "x <|ENDOFTEXT|> y", "a <|endof text|> b", "a<|endoftext|>b c  d", "Ünï <|StartOfText|> ç"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_encode_as_in_a_plain_encoder(name):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary_path(name))
+    texts = [*ADDED, "plain words", *ODD]
+    want = [plain.encode(t, add_special_tokens=False) for t in texts]
+    enc = ChunkEncoder(vocabulary_path(name), "<u4")
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [e.ids for e in want]
+    spans = token_counts.SpanEncoder(vocabulary_path(name))
+    for _ in range(2):
+        assert [x.tolist() for x in spans.encode(texts)] == [[list(o) for o in e.offsets] for e in want]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab é\n.\t'S3", max_size=40), max_size=6))
 def test_random_texts(texts):
