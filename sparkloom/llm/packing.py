@@ -234,6 +234,7 @@ def pack(
         # what each window takes of each queue, and where that begins in the stream
         takes = rows.drop("ids").mapInArrow(cut, _SPANS).groupBy("window", "source").agg(F.sum("length").alias("length"), F.min("at").alias("begin"))
         takes = running(materialize(takes, "packing-takes"), [F.col("window").asc(), F.col("source").asc_nulls_last()], {"place": F.col("length")}, "packing-places")
-    pieces = rows.mapInArrow(cut, f"{_SPANS}, ids binary").alias("p").join(takes.alias("t"), (F.col("p.window") == F.col("t.window")) & F.col("p.source").eqNullSafe(F.col("t.source")))
+    # the takes grow with the tokens: dealt by key at every size, and hashed, so the ids are not sorted
+    pieces = rows.mapInArrow(cut, f"{_SPANS}, ids binary").alias("p").join(takes.hint("shuffle_hash").alias("t"), (F.col("p.window") == F.col("t.window")) & F.col("p.source").eqNullSafe(F.col("t.source")))
     stream = pieces.select("doc_id", "start", "doc_tokens", (F.col("place") + F.col("at") - F.col("begin")).alias("place"), "ids")
     return stream.select("doc_id", "start", "doc_tokens", "place", "ids").mapInArrow(partial(_sequences, dtype=dtype, sequence=sequence), _PIECES)
