@@ -40,7 +40,7 @@ SEQUENCE = 2048
 #: Tokens of a round over all queues.
 WINDOW = 64 * SEQUENCE
 #: Chunks a worker remembers.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_300_000
 
 _IDS = "part_id int, source string, doc_id long, n long, in_part long, ids binary"
 _SPANS = "source string, doc_id long, start long, length long, doc_tokens long, window long, at long"
